@@ -21,12 +21,13 @@ from ferrule.functions.text import BLANK, squeeze, stated
 
 #: Affiliation marks: digits, superscripts and signs at the end of a word.
 _MARKS = r"(?<=[\p{L}\p{M}.'’])(?:[0-9\u00b9\u00b2\u00b3\u2070-\u2079*†‡§¶#]+|\^\{?[0-9,*]+\}?)(?:\s*,\s*(?:[0-9\u00b9\u00b2\u00b3\u2070-\u2079]{1,2}(?![\p{L}0-9])|[*†‡§¶#])+)*"
-_OTHERS = r"(?:and|und|&)?\s*(?:\(?\bet\s+al\b\.?\)?|\b(?:and|und|&)\s+(?:\d+\s+)?(?:others|co-?workers|colleagues|andere|weitere)\b|\bu\.\s?a\.|\b(?:others|andere|weitere)\b)"
-_AND = r"(?:\b(?:and|und|et|y)\b|&)"
+_OTHERS = r"(?:(?:\b(?:[Aa]nd|[Uu]nd)\s+|&\s*)?(?:\(?\b[Ee][Tt]\s+[Aa][Ll]\b\.?\)?|\b(?:\d+\s+)?(?:[Oo]thers|[Cc]o-?workers|[Cc]olleagues|[Aa]ndere|[Ww]eitere)\b)|\b[Uu]\.\s?[Aa]\.)"
+_AND = r"(?:\b(?:and|und|And|Und|AND|UND)\b|&)"
 _QUOTED = r'"(?:[^"\\]|""|\\.)*"(?!")'
 _LISTED = r"(?<=[\[,]\s?)'(?:[^'\\]|\\.)*'(?=\s?[\],])"
-#: Order matters: quoted groups, unnamed others, delimiters, then text up to the next of these.
-TOKEN = rf"(?i:{_QUOTED}|{_LISTED}|{_OTHERS}|{_AND}|[;|/•·,\t\n\r\[\]]|(?:(?!{_OTHERS}|(?<![\p{{L}}]){_AND}(?![\p{{L}}]))[^;|/•·,\t\n\r\[\]\"])+|\")"
+#: Order matters: quoted groups, unnamed others, delimiters, then text up to the next of these (looked for at the start of each word).
+_WORD = rf"(?!{_OTHERS}|{_AND})[^;|/•·,\s\[\]\"]++"
+TOKEN = rf"{_QUOTED}|{_LISTED}|{_OTHERS}|{_AND}|[;|/•·,\t\n\r\[\]\"]|{_WORD}(?: {_WORD})*+|\s"
 
 _P = r"(?:[\p{Ll}’']+\s+)*"  # particles such as "van" or "de la"
 _W = r"(?:[\p{Ll}]{1,3}[-’'])?\p{Lu}[\p{L}\p{M}]*[\p{Ll}\p{M}][\p{L}\p{M}]*(?:[-’'][\p{L}\p{M}]+)*\.?|\p{Lu}[’']\p{Lu}[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*"
@@ -38,15 +39,12 @@ CLASSES = (
     ("s", rf"^{_P}(?:{_W})$"),
     ("n", rf"^{_P}(?:{_W})\s\p{{Lu}}{{1,3}}(?:\s(?i:jr|sr)\.?)?$"),
 )
-DELIMITERS = {";": ";", "|": ";", "/": ";", "•": ";", "·": ";", "\t": ";", "\n": ";", "\r": ";"}
 
 
-def _sign(tok: Column) -> Column:
+def _sign(t: Column) -> Column:
     """The sign of one token in the skeleton."""
-    t = squeeze(tok)
-    c = F.when(t == "", F.when(tok.rlike(r"[\t\n\r]"), F.lit(";")).otherwise(F.lit("_")))
-    c = c.when(t.isin(",", "[", "]", '"'), t).when(t.isin(*";|/•·"), F.lit(";"))
-    c = c.when(t.rlike(f"^(?i:{_OTHERS})$"), F.lit("e")).when(t.rlike(f"^(?i:{_AND})$"), F.lit("&"))
+    c = F.when(t == " ", F.lit("_")).when(t.isin(",", "[", "]", '"'), t).when(t.isin(*";|/•·\t\n\r"), F.lit(";"))
+    c = c.when(t.rlike(f"^{_OTHERS}$"), F.lit("e")).when(t.rlike(f"^{_AND}$"), F.lit("&"))
     c = c.when(t.rlike(r"^[\"'].*[\"']$") & (F.length(t) > 1), F.when(F.length(t) > 2, F.lit("q")).otherwise(F.lit("_")))
     c = c.when(~t.rlike(r"[\p{L}\p{N}]"), F.lit("_"))
     for sign, pattern in CLASSES:
@@ -82,11 +80,11 @@ def resolve(skeleton: str) -> list[list[int]]:
         elif c in "_,":
             continue
         elif c == "j" and kind:
-            piece += [comma, i] if comma >= 0 else [i]
+            piece += range(comma, i + 1) if comma >= 0 else [i]
             comma = -1
             kind = "d" if kind != "s" else "s"
         elif c in "gs" and kind == "s" and comma >= 0:
-            piece += [comma, i]
+            piece += range(comma, i + 1)
             comma, kind = -1, "d"
         else:
             close()
@@ -102,11 +100,11 @@ def split_names(rows: DataFrame, row_id: str, field: str) -> DataFrame:
     "nothing here" fields give no row, nor do phrases for unnamed others. A repeated row counts once. Fields of any
     length are treated whole; what can't be told to be a name (no letter or digit) is left out.
     """
-    spark = rows.sparkSession
     text = F.regexp_replace(F.regexp_replace(stated(F.col(field)), r"[\u00a0\u2000-\u200a\u202f\u3000]", " "), "[\u200b\ufeff]", "")
     text = F.when(text.rlike(r"[0-9\u00b9\u00b2\u00b3\u2070-\u2079*†‡§¶#]"), F.regexp_replace(text, _MARKS, "")).otherwise(text)
+    text = F.regexp_replace(text, r"[ \f\u000b]+", " ")
     fields = rows.select(F.col(row_id).alias("_id"), text.alias("_t")).where("_t is not null").dropDuplicates(["_id"])
-    fields = fields.withColumn("_tok", F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)))
+    fields = fields.select("_id", F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)).alias("_tok"))
     fields = fields.select("_id", "_tok", F.array_join(F.transform("_tok", _sign), "").alias("_sk"))
 
     def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,5 +118,4 @@ def split_names(rows: DataFrame, row_id: str, field: str) -> DataFrame:
     value = squeeze(F.regexp_replace(value, r"\\([\"'\\])", "$1"))
     # the quotes around a whole group go, doubled quotes inside it are one
     value = F.when(value.rlike(r'^".*"$'), F.regexp_replace(F.regexp_replace(value, r'^"|"$', ""), '""', '"')).when(value.rlike("^'.*'$"), F.regexp_replace(value, "^'|'$", "")).otherwise(value)
-    assert spark is not None
     return out.select(F.col("_id").alias(row_id), (F.col("_pos") + 1).cast("int").alias("pos_no"), F.regexp_replace(squeeze(value), f"{BLANK}+,", ",").alias("author"))

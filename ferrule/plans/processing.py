@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import ledger, nested, split_values
+from ferrule.operators import ledger, nested, quantities, split_values
 from ferrule.session import table
 
 
@@ -25,5 +25,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.children(nested.nodes(table(spark, sf_dir, "paper_records").select("record_id", "payload")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stated quantity in the common unit of its property."""
+    return quantities.in_common_units(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "property_kinds"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
