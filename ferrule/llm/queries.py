@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import encode, packing, survivors
+from ferrule.llm import encode, history, packing, survivors
 from ferrule.session import table, written
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each papers row whose work came before, with the row that was first."""
+    return history.repeats(table(spark, sf_dir, "papers").select("paper_id", "title", "doi", "filename"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One surviving record for each group of duplicate mentions."""
     return survivors.survivors(table(spark, sf_dir, "mentions"))
@@ -34,7 +39,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers}
 MISSING = "('', 'none', 'null', 'nil', 'nan', 'n/a', 'n.a.', 'na', 'n.d.', 'nd', '-', '--', '---', '–', '—', '?', 'unknown', 'missing', 'not available', 'not given', 'untitled', 'tbd')"
 
 
