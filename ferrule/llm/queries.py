@@ -7,10 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import encode, history, packing, survivors
+from ferrule.llm import encode, history, packing, scan_repair, survivors
 from ferrule.session import table, written
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.scanned_texts({t: table(spark, sf_dir, t) for t, _, _ in scan_repair.SOURCES})
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each repair of the scanned texts."""
+    return scan_repair.find_repairs(_scanned(spark, sf_dir))
+
+
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned texts as continuous text."""
+    return scan_repair.repaired(_scanned(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each papers row whose work came before, with the row that was first."""
     return history.repeats(table(spark, sf_dir, "papers").select("paper_id", "title", "doi", "filename"))
@@ -39,7 +53,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p3_found": p3_found, "p3_texts": p3_texts, "p5_found": p5_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers}
 MISSING = "('', 'none', 'null', 'nil', 'nan', 'n/a', 'n.a.', 'na', 'n.d.', 'nd', '-', '--', '---', '–', '—', '?', 'unknown', 'missing', 'not available', 'not given', 'untitled', 'tbd')"
 
 
