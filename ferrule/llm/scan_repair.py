@@ -186,15 +186,15 @@ class Repairer:
         self.seen[word] = out = [w for c, _, w in ranked if c == ranked[0][0]]
         return out
 
-    def fix(self, word: str, before: str | None, after: str | None) -> str | None:
-        """What a misread word should read, None if it can't be told or is right."""
+    def fix(self, word: str, before: str | None, after: str | None, opens: bool = False) -> str | None:
+        """What a misread word should read, None if it can't be told or is right. ``opens``: it begins a sentence."""
         if word in self.words or len(word) < 2 or _NEVER.search(word) or not any(c.isalpha() for c in word):
             return None
         if any(c.isdigit() for c in word) and (_FORMULA.fullmatch(word) or sum(c.isalpha() for c in word) < 2):
             return None
         found = self.candidates(word)
         if len(found) > 1:
-            found = sorted(found, key=lambda w: (-((before, w) in self.pairs) - ((w, after) in self.pairs), -self.words[w], w))
+            found = sorted(found, key=lambda w: (w[0].isupper() != opens, -((before, w) in self.pairs) - ((w, after) in self.pairs), -self.words[w], w))
         return found[0] if found else None
 
     def joined(self, token: str) -> str:
@@ -236,7 +236,7 @@ class Repairer:
                 continue
             before = clean[i - 1] if i else None
             after = clean[i + 1] if i + 1 < len(clean) else None
-            if fixed := self.fix(w, before, after):
+            if fixed := self.fix(w, before, after, not i or tokens[i - 1][0][-1:] in ".:?!"):
                 out.append(("char", fixed))
         return out
 
@@ -250,7 +250,7 @@ class Repairer:
             if "\u0000" in t:
                 right = self.joined(w) if w and "\u0000" in w else w
             else:
-                right = (self.fix(w, clean[i - 1] if i else None, clean[i + 1] if i + 1 < len(clean) else None) if w else None) or w
+                right = (self.fix(w, clean[i - 1] if i else None, clean[i + 1] if i + 1 < len(clean) else None, not i or tokens[i - 1][0][-1:] in ".:?!") if w else None) or w
             out.append(t.replace(w, right, 1) if w else t)
         return " ".join(out)
 
@@ -270,8 +270,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                run = [t.strip(_OUTER) if "\u0000" not in t else t.strip(_OUTER).replace("\u0000", "") for t, _ in tokens_of(text)[0]]
-                words.update(run)
+                run = [t.strip(_OUTER) for t, _ in tokens_of(text)[0]]
+                words.update(w for w in run if "\u0000" not in w)  # how a broken word reads is what the counts decide
                 pairs.update(zip(run, run[1:]))
             if len(words) + len(pairs) > 400_000:
                 yield flush()
