@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import encode, history, packing, scan_repair, survivors
+from ferrule.llm import encode, history, packing, scan_repair, subjects, survivors
 from ferrule.session import table, written
 
 
@@ -53,7 +53,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p3_found": p3_found, "p3_texts": p3_texts, "p5_found": p5_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that each document is about."""
+    return subjects.subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p10_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each subject in each document's sentences."""
+    return subjects.mixtures(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_texts": p3_texts, "p5_found": p5_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_mixtures": p10_mixtures}
 MISSING = "('', 'none', 'null', 'nil', 'nan', 'n/a', 'n.a.', 'na', 'n.d.', 'nd', '-', '--', '---', '–', '—', '?', 'unknown', 'missing', 'not available', 'not given', 'untitled', 'tbd')"
 
 
