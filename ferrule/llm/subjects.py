@@ -41,6 +41,7 @@ HOLD = 0.7
 _SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\s*[\r\n]+\s*")
 _FORMULA = re.compile(r"\b(?=[^\s\d]{0,12}\d)(?:[A-Z][A-Za-z]?\d*(?:\.\d+)?|\([A-Z][A-Za-z0-9]*\)\d*){2,}(?![a-z])")
 _NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[\u0001\u0002]")
 
 
@@ -56,10 +57,14 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def masked(sentence: str) -> str:
+    """A sentence with its formulas and numbers masked."""
+    return _NUMBER.sub("\u0001", _FORMULA.sub("\u0002", sentence)) if _DIGIT.search(sentence) else sentence
+
+
 def terms(sentence: str) -> list[str]:
-    """Words and pairs of adjacent words; formulas and numbers are masked."""
-    s = _NUMBER.sub("\u0001", _FORMULA.sub("\u0002", sentence))
-    words = [w.lower() for w in _WORD.findall(s)]
+    """Words and pairs of adjacent words of a masked sentence."""
+    words = _WORD.findall(sentence.lower())
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
@@ -86,7 +91,7 @@ class Components:
             mark[labels] = 1.0
             mark[-FREE:] = 0.3
             for s in sentences(text):
-                r = rows.setdefault(tuple(terms(s)), len(rows))
+                r = rows.setdefault(tuple(terms(masked(s))), len(rows))
                 if r == len(times):
                     times.append(0.0)
                     priors.append(np.zeros(self.k, dtype=np.float32))
@@ -98,7 +103,7 @@ class Components:
         for ts, c in zip(rows, times):
             for t in ts:
                 count[t] += c
-        seeds = [Counter(terms(s)) for s in summaries]
+        seeds = [Counter(terms(masked(s))) for s in summaries]
         common = Counter(t for c in seeds for t in c)
         kept = [t for t, c in count.most_common(TERMS) if c > 1 or t in common]
         self.index = {t: i for i, t in enumerate(dict.fromkeys([*kept, *common]))}
@@ -151,6 +156,7 @@ class Components:
 
     def evidence(self, sentence: str) -> np.ndarray:
         """Evidence for each component in a sentence; the free ones have what little says nothing."""
+        sentence = masked(sentence)
         found = self.cache.get(sentence)
         if found is None:
             known = [self.index[t] for t in terms(sentence) if t in self.index]
@@ -193,7 +199,9 @@ def fit_components(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     names = sorted({(r["subject"], r["summary"] or "") for r in subjects.select("subject", "summary").collect() if r["subject"]})  # a table of fixed size
     keys = [subject_key(n) for n, _ in names]
     marked = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
-    some = documents.where("text is not null").select("doc_id", "text").join(marked, "doc_id").dropDuplicates(["doc_id"])
+    # the bound is taken on the labels, so that only the chosen documents' texts leave their partitions
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
+    some = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     known: dict[str, int | None] = {}
 
     def place(label: str) -> int | None:
@@ -202,7 +210,7 @@ def fit_components(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
             known[label] = keys.index(near[0]) if near else None
         return known[label]
 
-    rows = some.orderBy(F.xxhash64("doc_id")).limit(fit_documents).select("text", "labels").collect()
+    rows = some.select("text", "labels").collect()  # at most `fit_documents`
     fit = [(r["text"], sorted({k for x in r["labels"] if (k := place(x)) is not None})) for r in rows]
     return Components([n for n, _ in names]).fit([x for x in fit if x[1]], [x for _, x in names])
 
