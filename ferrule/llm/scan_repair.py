@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.functions.pages import furniture
+from ferrule.session import written
 
 #: A word belongs to the vocabulary if it makes up at least one in so many of all words.
 RARE = 100_000
@@ -282,6 +283,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, rare: int = RARE, least: int = LEAST) -> tuple[dict[str, int], set[tuple[str, str]]]:
     """(words with counts, frequent pairs); at most ``rare`` of each."""
+    counts = written(counts, "scan-counts")  # read three times
     total = counts.where("b is null").agg(F.sum("n")).first()[0] or 0
     floor = max(least, total / rare)
     frequent = counts.where(F.col("n") >= floor)
