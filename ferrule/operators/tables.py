@@ -44,7 +44,7 @@ def rows(headed_grids: DataFrame) -> DataFrame:
     cell; cells beyond the headers are Column_i."""
     r = headed_grids.select("paper_id", "page", "t_idx", "headers", "material_column", F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1)))).alias("row_no", "cs"))
     r = r.withColumn("cs", F.transform("cs", lambda c: strip(F.coalesce(c, F.lit(""))))).where(F.exists("cs", lambda c: c != ""))
-    pairs = F.transform("cs", lambda c, i: F.struct(F.coalesce(F.try_element_at(F.col("headers"), i + 1), F.concat(F.lit("Column_"), (i + 1).cast("string"))).alias("k"), c.alias("v")))
+    pairs = F.transform("cs", lambda c, i: F.struct(F.coalesce(F.try_element_at(F.col("headers"), i + 1), F.concat(F.lit("Column_"), (i + 1).cast("string"), F.when(F.array_contains("headers", F.concat(F.lit("Column_"), (i + 1).cast("string"))), "+").otherwise(""))).alias("k"), c.alias("v")))
     return r.withColumn("row", F.map_from_entries(pairs)).drop("cs")
 
 
@@ -72,8 +72,9 @@ def table_mentions(table_rows: DataFrame) -> DataFrame:
     linked to the first material of the row's material cell."""
     cell = table_rows.select("paper_id", "page", "t_idx", "row_no", "row", "material_column", F.posexplode("headers").alias("col_no", "header"))
     cell = cell.withColumn("property_name", property_of(F.col("header"))).where("property_name is not null and (material_column is null or header <> material_column)")
-    kinds = F.create_map(*(F.lit(x) for _, n in HEADERS for x in (n, _ENTRY[n].kind)))
-    cats = F.create_map(*(F.lit(x) for _, n in HEADERS for x in (n, _ENTRY[n].category)))
+    names = sorted({n for _, n in HEADERS})
+    kinds = F.create_map(*(F.lit(x) for n in names for x in (n, _ENTRY[n].kind)))
+    cats = F.create_map(*(F.lit(x) for n in names for x in (n, _ENTRY[n].category)))
     c = cell.withColumns({"kind": F.element_at(kinds, F.col("property_name")), "category": F.element_at(cats, F.col("property_name")), "cell": F.element_at("row", F.col("header"))})
     number = r"^\s*([-−]?\d+(?:\.\d+)?(?:\s*(?:[eE][-−+]?\d+|[xX×*]\s*10\^?[-−]?\d+))?)\s*(?:(?:±|\+/-)\s*\d+(?:\.\d+)?)?\s*([A-Za-zΩ°μµÅ%][^\s,;)]*)?"
     bracket = F.try_element_at(F.regexp_extract_all("header", F.lit(r"\(([^)]+)\)"), F.lit(1)), F.lit(-1))
