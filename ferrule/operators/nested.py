@@ -117,7 +117,7 @@ class _Walk:
     def each(self, v: Any, child: Any) -> None:
         """The children of a list; a lone object counts as a list of one."""
         self.enter()
-        for x in v if isinstance(v, list) else [v] if isinstance(v, dict) else []:
+        for x in v if isinstance(v, list) else [v] if isinstance(v, dict) and v else []:
             child(_inner(x))
         self.leave()
 

@@ -139,6 +139,8 @@ def read(raw: str | None, unit_text: str | None, numeric: float | None, sentence
             value, power, end = n
             rest = written[end:].strip() or rest
             written = written[:end]
+    if power is not None and abs(power) > 300:
+        return Reading(None, None, None, None)
     known = numeric is not None and numeric == numeric and isfinite(numeric)
     before = None if _missing(normal) else number(normal)
     if value is None:
@@ -284,7 +286,7 @@ class UnitModel:
     def features(self, prop: str, r: Reading, source: str | None) -> list[float]:
         units = self.classes.get(prop, [])
         size = log10(abs(r.bare)) if r.bare else -30.0
-        ratio = log10(abs(r.before / r.bare)) if r.before and r.bare else 99.0
+        ratio = log10(abs(r.before / r.bare)) if r.before and r.bare and isfinite(r.before / r.bare) and r.before / r.bare else 99.0
         hint = next((float(i) for i, u in enumerate(units) if _same(u, r.told)), -1.0) if r.told else -2.0
         return [size, ratio, hint, float(self.sources.get(source, -1))]
 
