@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.operators import ledger, nested, quantities, split_values
-from ferrule.session import table
+from ferrule.session import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materials, elements, properties and relations of each exported record."""
-    return nested.children(nested.nodes(table(spark, sf_dir, "paper_records").select("record_id", "payload")))
+    return nested.children(written(nested.nodes(table(spark, sf_dir, "paper_records").select("record_id", "payload")), "record-nodes"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
