@@ -31,7 +31,7 @@ FREE = 2
 SHARE = 0.2
 ROUNDS = 10
 #: Sentences' worth of common shares mixed into each term.
-SMOOTH = 0.3
+SMOOTH = 1.0
 #: The same for each sentence outside subjects that has the term.
 LOOSE = 0.1
 #: Evidence below which a sentence is about no subject, and the scale of evidence.
@@ -41,18 +41,23 @@ HOLD = 0.7
 _SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\s*[\r\n]+\s*")
 _FORMULA = re.compile(r"\b(?=[^\s\d]{0,12}\d)(?:[A-Z][A-Za-z]?\d*(?:\.\d+)?|\([A-Z][A-Za-z0-9]*\)\d*){2,}(?![a-z])")
 _NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
+#: Equations, entries of reference lists.
+_NO_SENTENCE = re.compile(r"\s=\s|\(\d{4}\)\s\d+[\d–-]*\.?$|^\[\d+\]")
+#: What a sentence names only to set it apart from its subject.
+_ASIDE = re.compile(r"\b(?:unlike|in contrast to|contrary to|rather than|instead of|anders als|im gegensatz zu|contrairement à)\b[^,;.]*[,;]?|^[^,;]*\b(?:(?:is|are) left aside|bleib(?:t|en) (?:hier )?außer betracht|(?:est|sont) laissée?s? de côté)\b[^,;]*[,;]?", re.IGNORECASE)
+#: Sentences' worth that one document counts for at most in the fit.
+MOST = 30
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[\u0001\u0002]")
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a text, inner white space as one space each; headings and numbers of figures don't count."""
+    """The sentences of a text, inner white space as one space each; headings, equations, numbers of figures and entries
+    of reference lists don't count."""
     out = []
     for s in _SPLIT.split(text):
         s = " ".join(s.split())
-        if s.count(" ") >= 2 and s[-1] in ".!?":
-            out.append(s)
-        elif s.count(" ") >= 4:
+        if s and s.count(" ") >= (2 if s[-1] in ".!?" else 4) and not _NO_SENTENCE.search(s):
             out.append(s)
     return out
 
@@ -63,8 +68,8 @@ def masked(sentence: str) -> str:
 
 
 def terms(sentence: str) -> list[str]:
-    """Words and pairs of adjacent words of a masked sentence."""
-    words = _WORD.findall(sentence.lower())
+    """Words and pairs of adjacent words of a masked sentence, without what it only sets aside."""
+    words = _WORD.findall(_ASIDE.sub(" ", sentence).lower())
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
@@ -90,13 +95,15 @@ class Components:
             mark = np.full(self.k, 0.01, dtype=np.float32)
             mark[labels] = 1.0
             mark[-FREE:] = 0.3
-            for s in sentences(text):
+            cut = sentences(text)
+            worth = min(1.0, MOST / max(1, len(cut)))
+            for s in cut:
                 r = rows.setdefault(tuple(terms(masked(s))), len(rows))
                 if r == len(times):
                     times.append(0.0)
                     priors.append(np.zeros(self.k, dtype=np.float32))
-                times[r] += 1
-                priors[r] += mark
+                times[r] += worth
+                priors[r] += mark * worth
         n = np.array(times, dtype=np.float32)
         prior = np.stack(priors) / n[:, None] if priors else np.zeros((0, self.k), dtype=np.float32)
         count: Counter = Counter()
@@ -105,7 +112,7 @@ class Components:
                 count[t] += c
         seeds = [Counter(terms(masked(s))) for s in summaries]
         common = Counter(t for c in seeds for t in c)
-        kept = [t for t, c in count.most_common(TERMS) if c > 1 or t in common]
+        kept = [t for t, c in count.most_common(TERMS) if c > 1.2 or t in common]
         self.index = {t: i for i, t in enumerate(dict.fromkeys([*kept, *common]))}
         m = len(self.index)
         i = np.array([r for r, ts in enumerate(rows) for t in ts if t in self.index], dtype=np.int64)
