@@ -38,16 +38,17 @@ LOOSE = 0.1
 NOTHING, SCALE = 1.0, 0.5
 #: How firmly a sentence's weights are held to its documents' labels in each round.
 HOLD = 0.7
-_SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\s*[\r\n]+\s*")
 _FORMULA = re.compile(r"\b(?=[^\s\d]{0,12}\d)(?:[A-Z][A-Za-z]?\d*(?:\.\d+)?|\([A-Z][A-Za-z0-9]*\)\d*){2,}(?![a-z])")
 _NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
-#: Equations, entries of reference lists.
-_NO_SENTENCE = re.compile(r"\s=\s|\(\d{4}\)\s\d+[\d–-]*\.?$|^\[\d+\]")
+#: Entries of reference lists.
+_ENTRY = re.compile(r"\(\d{4}\)\s\d+[\d–-]*\.?$|^\[\d+\]")
 #: What a sentence names only to set it apart from its subject.
 _ASIDE = re.compile(r"\b(?:unlike|in contrast to|contrary to|rather than|instead of|anders als|im gegensatz zu|contrairement à)\b[^,;.]*[,;]?|^[^,;]*\b(?:(?:is|are) left aside|bleib(?:t|en) (?:hier )?außer betracht|(?:est|sont) laissée?s? de côté)\b[^,;]*[,;]?", re.IGNORECASE)
 #: Sentences' worth that one document counts for at most in the fit.
 MOST = 30
-_DIGIT = re.compile(r"\d")
+_DIGIT, _COUNTED = re.compile(r"\d"), re.compile(r"[A-Za-z)]\d")
+#: A sentence without one of these sets nothing aside.
+_APART = ("unlike", "aside", "contra", "rather than", "instead of", "anders", "gegensatz", "betracht", "côté")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[\u0001\u0002]")
 
 
@@ -55,21 +56,27 @@ def sentences(text: str) -> list[str]:
     """The sentences of a text, inner white space as one space each; headings, equations, numbers of figures and entries
     of reference lists don't count."""
     out = []
-    for s in _SPLIT.split(text):
-        s = " ".join(s.split())
-        if s and s.count(" ") >= (2 if s[-1] in ".!?" else 4) and not _NO_SENTENCE.search(s):
-            out.append(s)
+    for line in text.splitlines():
+        flat = " ".join(line.split())
+        if not flat:
+            continue
+        for s in flat.replace(". ", ".\0").replace("! ", "!\0").replace("? ", "?\0").split("\0"):
+            if s and s.count(" ") >= (2 if s[-1] in ".!?" else 4) and " = " not in s and not (("[" == s[0] or "(" in s) and _ENTRY.search(s)):
+                out.append(s)
     return out
 
 
 def masked(sentence: str) -> str:
     """A sentence with its formulas and numbers masked."""
-    return _NUMBER.sub("\u0001", _FORMULA.sub("\u0002", sentence)) if _DIGIT.search(sentence) else sentence
+    if not _DIGIT.search(sentence):
+        return sentence
+    return _NUMBER.sub("\u0001", _FORMULA.sub("\u0002", sentence) if _COUNTED.search(sentence) else sentence)
 
 
 def terms(sentence: str) -> list[str]:
     """Words and pairs of adjacent words of a masked sentence, without what it only sets aside."""
-    words = _WORD.findall(_ASIDE.sub(" ", sentence).lower())
+    low = sentence.lower()
+    words = _WORD.findall(_ASIDE.sub(" ", low) if any(map(low.__contains__, _APART)) else low)
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
@@ -166,8 +173,8 @@ class Components:
         sentence = masked(sentence)
         found = self.cache.get(sentence)
         if found is None:
-            known = [self.index[t] for t in terms(sentence) if t in self.index]
-            found = self.logs[known].sum(0) * SCALE if known else np.zeros(self.k, dtype=np.float32)
+            known = [i for i in map(self.index.get, terms(sentence)) if i is not None]
+            found = np.add.reduce(self.logs[known], 0) * SCALE if known else np.zeros(self.k, dtype=np.float32)
             found[-FREE:] = NOTHING * SCALE
             if len(self.cache) >= KEEP:
                 self.cache = {}
