@@ -37,7 +37,10 @@ def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Extracted
     so both are materialised once, in the shared folder."""
     typed = layout.typed_lines(layout.lines(pages))
     blocks = cut(layout.blocks(typed))
-    sentences = cut(extract.with_materials(extract.sentences(blocks)))
+    # few bytes but much work a sentence, so adaptive execution must not put them into few tasks
+    spark = pages.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sentences = cut(extract.with_materials(extract.sentences(blocks).repartition(tasks, "paper_id")))
     linked = cut(extract.link(extract.mentions(sentences, categories, keep=("materials",))))
     return Extracted(typed, blocks, sentences, linked)
 
