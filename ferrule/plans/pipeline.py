@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.lexicon import CATEGORIES
+from ferrule.functions.lexicon import CATEGORIES, ENTRIES
 from ferrule.operators import annotate, extract, layout, rank
 from ferrule.session import cut
 
@@ -82,23 +82,22 @@ def papers(x: Extracted, pages: DataFrame) -> DataFrame:
     return out.select("paper_id", F.concat("paper_id", F.lit(".pdf")).alias("filename"), "doi", "publication_year", *(F.coalesce(c, F.lit(0)).alias(c) for _, c in n))
 
 
-def wide_summary(x: Extracted, names: tuple[str, ...]) -> DataFrame:
-    """One row a paper with the best value of each property named, its confidence and two runners-up."""
-    best = x.ranked.where(F.col("property_name").isin(*names)).withColumn("rk", F.row_number().over(_by_property()))
+def wide_summary(x: Extracted, names: tuple[str, ...] | None = None) -> DataFrame:
+    """One row a paper with the best value of each property named, its confidence and two runners-up; without names of
+    every property of every category, its columns prefixed by the category, as two categories share a name."""
+    wanted = [(None, n, n) for n in names] if names is not None else [(e.category, e.name, f"{e.category}_{e.name}") for e in ENTRIES]
+    by = ("paper_id", "property_name") if names is not None else ("paper_id", "category", "property_name")
+    best = x.ranked if names is None else x.ranked.where(F.col("property_name").isin(*names))
+    best = best.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("confidence"), *rank.KEY)))
     cells = []
-    for p in names:
+    for category, p, column in wanted:
+        own = F.col("property_name") == p if category is None else (F.col("property_name") == p) & (F.col("category") == category)
         for k, suffix in ((1, ""), (2, "_2"), (3, "_3")):
-            cells.append(F.coalesce(F.max(F.when((F.col("property_name") == p) & (F.col("rk") == k), F.col("normalized_value"))), F.lit(NONE)).alias(f"{p}{suffix}"))
-        cells.append(F.round(F.coalesce(F.max(F.when((F.col("property_name") == p) & (F.col("rk") == 1), F.col("confidence"))), F.lit(0.0)), 3).alias(f"{p}_Confidence"))
+            cells.append(F.coalesce(F.max(F.when(own & (F.col("rk") == k), F.col("normalized_value"))), F.lit(NONE)).alias(f"{column}{suffix}"))
+        cells.append(F.round(F.coalesce(F.max(F.when(own & (F.col("rk") == 1), F.col("confidence"))), F.lit(0.0)), 3).alias(f"{column}_Confidence"))
     return best.groupBy("paper_id").agg(*cells)
 
 
-def _by_property():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("paper_id", "property_name").orderBy(F.desc("confidence"), *rank.KEY)
-
-
 def nested(x: Extracted) -> DataFrame:
     """One JSON record a paper: materials with their properties, relations, equations, figures and workflow."""
     props = properties(x)

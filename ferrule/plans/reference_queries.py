@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.functions.lexicon import ENTRIES
 from ferrule.operators import annotate, extract, layout, tables
 from ferrule.plans import corpus, pipeline
 from ferrule.session import table
@@ -68,36 +69,69 @@ def activation_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.activation_energy(_x(spark, sf_dir, _EC)).select("paper_id", "material_id", "material_formula", "matched_as", "ea_type", "normalized_value", "unit", F.round(F.col("confidence") * 1000).cast("int").alias("conf_milli"), "page", "section", "sentence")
 
 
+def _registry(x: pipeline.Extracted) -> DataFrame:
+    return extract.registry(x.linked).select("paper_id", "material_id", "normalized_formula", F.round(F.col("confidence") * 1000).cast("int").alias("conf_milli"), F.col("page").cast("int").alias("page"), "section", F.array_join(F.transform(F.array_sort(F.map_entries("elements")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("int").cast("string"))), " ").alias("elements"))
+
+
+def _relations(x: pipeline.Extracted) -> DataFrame:
+    return pipeline.relations(x).select("paper_id", "material_id", "material_formula", "property_name", "value", "ea_type", F.round(F.col("confidence") * 1000).cast("int").alias("conf_milli"), "extraction_method")
+
+
 def material_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The materials of each paper."""
-    return extract.registry(_x(spark, sf_dir, _EC).linked).select("paper_id", "material_id", "normalized_formula", F.round(F.col("confidence") * 1000).cast("int").alias("conf_milli"), F.col("page").cast("int").alias("page"), "section", F.array_join(F.transform(F.array_sort(F.map_entries("elements")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("int").cast("string"))), " ").alias("elements"))
+    """The materials of each paper named beside an electrochemical property; :func:`whole_registry` has all."""
+    return _registry(_x(spark, sf_dir, _EC))
 
 
 def relations_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capped relations of the corpus."""
-    return pipeline.relations(_x(spark, sf_dir, _EC)).select("paper_id", "material_id", "material_formula", "property_name", "value", "ea_type", F.round(F.col("confidence") * 1000).cast("int").alias("conf_milli"), "extraction_method")
+    """The capped electrochemical relations of the corpus; :func:`whole_relations` has all."""
+    return _relations(_x(spark, sf_dir, _EC))
 
 
 def papers_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a paper."""
+    """One row a paper, its counts electrochemical; :func:`whole_papers` counts all."""
     return pipeline.papers(_x(spark, sf_dir, _EC), corpus.pages(spark, sf_dir))
 
 
 def wide_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best values and runners-up as columns."""
+    """Best values and runners-up of three properties as columns; :func:`whole_wide` has all."""
     return pipeline.wide_summary(_x(spark, sf_dir, _EC), ("Activation_Energy", "Ionic_Conductivity", "Capacity"))
 
 
 def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested record of each paper."""
-    return pipeline.nested(_x(spark, sf_dir, _EC))
+    return pipeline.nested(_x(spark, sf_dir))
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the run."""
+    """Totals of an electrochemical run; :func:`whole_report` has those of all properties."""
     return pipeline.run_report(_x(spark, sf_dir, _EC), corpus.pages(spark, sf_dir))
 
 
+def whole_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materials of each paper, searched beside all 104 properties."""
+    return _registry(_x(spark, sf_dir))
+
+
+def whole_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capped relations of all 104 properties."""
+    return _relations(_x(spark, sf_dir))
+
+
+def whole_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a paper, counted over all 104 properties."""
+    return pipeline.papers(_x(spark, sf_dir), corpus.pages(spark, sf_dir))
+
+
+def whole_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best values and runners-up of every property of every category as columns."""
+    return pipeline.wide_summary(_x(spark, sf_dir))
+
+
+def whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a run over all 104 properties."""
+    return pipeline.run_report(_x(spark, sf_dir), corpus.pages(spark, sf_dir))
+
+
 def equations_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The equations of the corpus."""
     b = layout.blocks(_typed(spark, sf_dir))
@@ -158,7 +192,7 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.published(spark, incremental.stage_pages(corpus.pages(spark, sf_dir)), lambda pages: layout.lines(pages).groupBy("paper_id").agg(F.count("*").alias("n_lines")))
 
 
-_F = [merge_union, captions, incremental_stream, line_layout, section_carry_forward, paragraphs, references_split, doi_year, sentences_scored, all_mentions, ranked_properties, activation_energy, material_registry, relations_capped, papers_summary, wide_summary, nested_json, run_report, equations_typed, figures_xref, workflow_steps, table_headers, table_properties, new_only]
+_F = [merge_union, captions, incremental_stream, line_layout, section_carry_forward, paragraphs, references_split, doi_year, sentences_scored, all_mentions, ranked_properties, activation_energy, material_registry, relations_capped, papers_summary, wide_summary, nested_json, run_report, whole_registry, whole_relations, whole_papers, whole_wide, whole_report, equations_typed, figures_xref, workflow_steps, table_headers, table_properties, new_only]
 QUERIES = {f.__name__: f for f in _F}
 
 _MAT = "case p_partkey % 5 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(corpus.MATERIALS)) + " end"
@@ -177,7 +211,17 @@ _ELEMENTS = "case p_partkey % 5 when 0 then 'La:3 Li:7 O:12 Zr:2' when 1 then 'F
 _SECTION = "case no when 0 then 'Metadata/Header' when 1 then 'Abstract' when 2 then 'Abstract' when 3 then 'Introduction' when 4 then 'Introduction' when 5 then 'Introduction' when 12 then 'Conclusion' when 13 then 'Conclusion' when 14 then 'References' when 15 then 'References' when 16 then 'References' when 17 then 'References' else 'Results' end"
 _LINES = f"(select *, {_SECTION} as section, case when no in (1, 3, 6, 12, 14) then 'header' when no > 14 then 'reference' when no = 9 then 'Caption' when no = 10 then 'EquationCandidate' else 'Text' end as type from ({corpus.lines_sql('varchar')}))"
 
+_BEST = {"Activation_Energy": (_EV, 0.95, 3), "Ionic_Conductivity": ("format('{:.4g} S/cm', s / 1000.0)", 0.85, 1), "Capacity": ("format('{:.4g} mAh/g', 100.0 + s)", 0.7, 1), "Band_Gap": ("format('{:.4g} eV', m + s / 100.0)", 0.7, 1), "Software": ("'VASP'", 0.7, 1), "Functional": ("'PBE'", 0.7, 1), "Technique": ("'EIS'", 0.95, 1)}
+_WIDE = ", ".join(f"{_BEST[e.name][0] if e.name in _BEST and k < _BEST[e.name][2] else chr(39) + 'NONE' + chr(39)} as \"{e.category}_{e.name}{('', '_2', '_3')[k]}\"" for e in ENTRIES for k in range(3))
+_WIDE += ", " + ", ".join(f"{_BEST[e.name][1] if e.name in _BEST else 0.0} as \"{e.category}_{e.name}_Confidence\"" for e in ENTRIES)
+
 ORACLES = {
+    "whole_registry": f"select paper_id, 'MAT_1' as material_id, mat as normalized_formula, 950 as conf_milli, 1 as page, 'Abstract' as section, {_ELEMENTS} as elements from {_PART}",
+    "whole_relations": f"""select paper_id, 'MAT_1' as material_id, mat as material_formula, 'Activation_Energy' as property_name, {_EV} as value, t.ea_type, least(990, t.conf_milli + 100) as conf_milli, 'proximity' as extraction_method from {_PART}, {_EA}
+union all select paper_id, 'MAT_1', mat, 'Ionic_Conductivity', format('{{:.4g}} S/cm', s / 1000.0), 'NONE', 950, 'proximity' from {_PART} union all select paper_id, 'MAT_1', mat, 'Technique', 'EIS', 'NONE', 990, 'proximity' from {_PART}""",
+    "whole_papers": f"select paper_id, paper_id || '.pdf' as filename, '10.1234/part.' || k as doi, '201' || m as publication_year, 1 as n_materials, 5 as n_relations, 2 as n_references from {_PART}",
+    "whole_wide": f"select paper_id, {_WIDE} from {_PART}",
+    "whole_report": "select t.what, count(*) * t.times as n from part, (values ('n_papers', 1), ('n_materials', 1), ('n_relations', 5), ('n_with_activation_energy', 1)) t(what, times) group by t.what, t.times",
     "line_layout": "select cast(doc_id as varchar) as paper_id, n - 1 as line_no, md5(line) as line_md5 from (select doc_id, generate_subscripts(ls, 1) as n, regexp_replace(unnest(ls), '^[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+|[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+$', '', 'g') as line from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)) where line <> ''",
     "section_carry_forward": f"select paper_id, page, row_number() over (partition by paper_id, page order by no) - 1 as line_no, section, type from {_LINES}",
     "paragraphs": f"""select paper_id, row_number() over (partition by paper_id order by first_no) - 1 as block_no, page, type, section, text, case when type = 'Caption' then '1' else 'NONE' end as ref_number from

@@ -46,3 +46,11 @@ def test_scans_read_few_columns(spark, sf):
     scan = next(line for line in plan.splitlines() if "ReadSchema" in line and "filename" in line)
     assert "title" not in scan and "authors" not in scan
     assert "CartesianProduct" not in plan
+
+
+def test_record_has_all_categories(spark, sf):
+    import json
+
+    record = json.loads(entry.queries()["nested_json"](spark, sf).first().payload)
+    assert "Technique" in {r["property_name"] for r in record["relations"]}
+    assert "Technique" in {p["property_name"] for m in record["materials"] for p in m["properties"]}
