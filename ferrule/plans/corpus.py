@@ -1,4 +1,4 @@
-"""A corpus of papers generated from the test tables by fixed templates, as no table holds the extraction vocabulary.
+"""A corpus of papers generated from the test tables by fixed templates, so that SQL can work out the answers.
 
 One paper per part: its key picks the material, its size the numbers. Numbers are put together from whole numbers, so
 their text is the same in every engine.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,31 +15,36 @@ from ferrule.session import table
 from ferrule.streaming import incremental
 
 _EC = ("ELECTROCHEMICAL",)
+Pages = Callable[[SparkSession, str], DataFrame]
+
+
+def _typed(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
+    return layout.typed_lines(layout.lines(pages(spark, sf_dir)))
 
 
-def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.typed_lines(layout.lines(corpus.pages(spark, sf_dir)))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paper_id, page, text) of the documents: one page each; null texts have no lines."""
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(1).alias("page"), "text")
 
 
 def line_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimmed, numbered lines of documents that hold lines."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(1).alias("page"), "text")
-    return layout.lines(d).select("paper_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"))
+    return layout.lines(_documents(spark, sf_dir)).select("paper_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"))
 
 
-def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+def section_carry_forward(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The section of each line of the corpus."""
-    return _typed(spark, sf_dir).select("paper_id", "page", "line_no", "section", "type")
+    return _typed(spark, sf_dir, pages).select("paper_id", "page", "line_no", "section", "type")
 
 
-def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paragraphs(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The blocks of the corpus."""
-    return layout.blocks(_typed(spark, sf_dir)).select("paper_id", "block_no", "page", "type", "section", "text", F.coalesce("ref_number", F.lit("NONE")).alias("ref_number"))
+    return layout.blocks(_typed(spark, sf_dir, pages)).select("paper_id", "block_no", "page", "type", "section", "text", F.coalesce("ref_number", F.lit("NONE")).alias("ref_number"))
 
 
-def references_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def references_split(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The entries of the reference lists."""
-    return layout.references(_typed(spark, sf_dir))
+    return layout.references(_typed(spark, sf_dir, pages))
 
 
 def doi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +52,19 @@ def doi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.doi_and_year(corpus.pages(spark, sf_dir))
 
 
-def sentences_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentences_scored(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The sentences of the corpus with their scores."""
-    return extract.sentences(layout.blocks(_typed(spark, sf_dir))).select("paper_id", "block_no", "sent_no", "sentence", F.round(F.col("score") * 100).cast("int").alias("score_pct"))
+    return extract.sentences(layout.blocks(_typed(spark, sf_dir, pages))).select("paper_id", "block_no", "sent_no", "sentence", F.round(F.col("score") * 100).cast("int").alias("score_pct"))
 
 
-def _x(spark: SparkSession, sf_dir: str, categories: tuple[str, ...] | None = None) -> pipeline.Extracted:
-    pages = corpus.pages(spark, sf_dir)
-    return pipeline.run(pages, categories) if categories else pipeline.run(pages)
+def _x(spark: SparkSession, sf_dir: str, categories: tuple[str, ...] | None = None, pages: Pages = corpus.pages) -> pipeline.Extracted:
+    p = pages(spark, sf_dir)
+    return pipeline.run(p, categories) if categories else pipeline.run(p)
 
 
-def all_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_mentions(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """Every mention of all 104 properties in the corpus."""
-    return _x(spark, sf_dir).linked.select("paper_id", "category", "property_name", "normalized_value", "unit", "ea_type", F.coalesce("formula", F.lit("NONE")).alias("formula"))
+    return _x(spark, sf_dir, pages=pages).linked.select("paper_id", "category", "property_name", "normalized_value", "unit", "ea_type", F.coalesce("formula", F.lit("NONE")).alias("formula"))
 
 
 def ranked_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,21 +140,21 @@ def whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.run_report(_x(spark, sf_dir), corpus.pages(spark, sf_dir))
 
 
-def equations_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def equations_typed(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The equations of the corpus."""
-    b = layout.blocks(_typed(spark, sf_dir))
+    b = layout.blocks(_typed(spark, sf_dir, pages))
     return annotate.equations(b, extract.sentences(b)).select("paper_id", "equation_type", "equation_text", "page", "section", "variables")
 
 
-def figures_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
+def figures_xref(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The figures of the corpus with what they refer to."""
-    f = annotate.figures(layout.blocks(_typed(spark, sf_dir)))
+    f = annotate.figures(layout.blocks(_typed(spark, sf_dir, pages)))
     return f.select("paper_id", "figure_number", "referenced_materials", "referenced_tables", "referenced_equations", "mentioned_methods")
 
 
-def workflow_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def workflow_steps(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The workflow of each paper."""
-    return annotate.workflow(layout.blocks(_typed(spark, sf_dir))).select("paper_id", "step_order", "stage", "page")
+    return annotate.workflow(layout.blocks(_typed(spark, sf_dir, pages))).select("paper_id", "step_order", "stage", "page")
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +190,9 @@ def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.merge(p.where(even).select("paper_id"), p.where(~even)).select("paper_id", F.col("n").isNotNull().alias("has_n"))
 
 
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captions(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages) -> DataFrame:
     """The captions of the corpus."""
-    return layout.blocks(_typed(spark, sf_dir)).where("type = 'Caption'").select("paper_id", "page", "ref_kind", "ref_number", "text")
+    return layout.blocks(_typed(spark, sf_dir, pages)).where("type = 'Caption'").select("paper_id", "page", "ref_kind", "ref_number", "text")
 
 
 def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +201,9 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _F = [merge_union, captions, incremental_stream, line_layout, section_carry_forward, paragraphs, references_split, doi_year, sentences_scored, all_mentions, ranked_properties, activation_energy, material_registry, relations_capped, papers_summary, wide_summary, nested_json, run_report, whole_registry, whole_relations, whole_papers, whole_wide, whole_report, equations_typed, figures_xref, workflow_steps, table_headers, table_properties, new_only]
-QUERIES = {f.__name__: f for f in _F}
+#: The same over every text of documents, whole; nothing but the same rules could work out their answer, so they have no SQL twins.
+_OVER_DOCUMENTS = [section_carry_forward, paragraphs, references_split, sentences_scored, all_mentions, equations_typed, figures_xref, captions, workflow_steps]
+QUERIES = {f.__name__: f for f in _F} | {f"documents_{f.__name__}": partial(f, pages=_documents) for f in _OVER_DOCUMENTS}
 
 _MAT = "case p_partkey % 5 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(corpus.MATERIALS)) + " end"
 _PART = f"(select *, 'P' || lpad(cast(p_partkey as varchar), 8, '0') as paper_id, {_MAT} as mat, p_partkey as k, p_size as s, lpad(cast(p_size as varchar), 2, '0') as v, p_partkey % 5 as m from part)"
