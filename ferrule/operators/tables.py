@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.lexicon import ENTRIES
 from ferrule.functions.text import strip
-from ferrule.operators.extract import materials_in, normalise
+from ferrule.operators.extract import EA_PROPERTIES, ea_type, materials_in, normalise
 
 NONE = "NONE"
 # What a column's header names, longest wording first; and the headers of material columns.
@@ -89,3 +89,22 @@ def table_mentions(table_rows: DataFrame) -> DataFrame:
     return c.select("paper_id", "page", "t_idx", "row_no", "col_no", "category", "property_name", F.col("cell").alias("raw_value"), "normalized_value", "unit", F.lit(CONFIDENCE["field"]).alias("confidence"), F.try_element_at("found", F.lit(1))["formula"].alias("formula"), F.when(F.size("found") > 0, "table_row").alias("extraction_method"))
 
 
+def linked(captioned_grids: DataFrame) -> DataFrame:
+    """The mentions of captioned grids in the columns of :func:`ferrule.operators.extract.link`: in Results, after all text,
+    their caption as sentence. An activation energy is typed by its header, else the row's other cells, else the caption."""
+    r = rows(captioned_grids)
+    key = ["paper_id", "page", "t_idx"]
+    at = r.select(*key, "row_no", "row", "headers", "material_column").join(captioned_grids.select(*key, "caption"), key)
+    m = table_mentions(r).join(at, [*key, "row_no"])
+    other = F.filter("headers", lambda h: property_of(h).isNull())
+    m = m.withColumns({"_h": F.element_at("headers", F.col("col_no") + 1), "_r": F.array_join(F.transform(other, lambda h: F.element_at(F.col("row"), h)), " ")})
+    typed = [F.nullif(ea_type(c, "0", "0"), F.lit("unspecified")) for c in ("_h", "_r", "caption")]
+    entry = F.concat_ws("|", "category", "property_name")
+    index = F.create_map(*(F.lit(v) for i, e in enumerate(ENTRIES) for v in (f"{e.category}|{e.name}", i)))
+    cell = F.element_at("row", F.col("material_column"))
+    return m.select(
+        "paper_id", (F.lit(1_000_000) + F.col("page") * 1000 + F.col("t_idx")).cast("int").alias("block_no"), "page", F.lit("Table").alias("type"), F.lit("Results").alias("section"), F.col("row_no").alias("sent_no"),
+        F.col("caption").alias("sentence"), F.lit(CONFIDENCE["material"]).alias("score"), F.slice(materials_in(F.coalesce(cell, F.lit(""))), 1, 1).alias("materials"), F.element_at(index, entry).alias("prop_idx"), F.col("col_no").alias("match_no"),
+        "raw_value", "category", "property_name", "normalized_value", F.when(F.col("property_name").isin(*EA_PROPERTIES), F.coalesce(*typed, F.lit("unspecified"))).otherwise(NONE).alias("ea_type"),
+        "unit", "confidence", F.lit("Table").alias("source_type"), "formula", "extraction_method",
+    )

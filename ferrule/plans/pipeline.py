@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.lexicon import CATEGORIES, ENTRIES
-from ferrule.operators import annotate, extract, layout, rank
+from ferrule.operators import annotate, extract, layout, rank, tables
 from ferrule.session import cut
 
 NONE = "NONE"
@@ -22,6 +22,7 @@ class Extracted:
     blocks: DataFrame
     sentences: DataFrame
     linked: DataFrame
+    grids: DataFrame | None = None
 
     @property
     def ranked(self) -> DataFrame:
@@ -32,8 +33,9 @@ class Extracted:
         return rank.relations(rank.agree(self.linked))
 
 
-def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Extracted:
-    """Extract from (paper_id, page, text). Sentences are read by every group of properties and mentions by several tables,
+def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES, grids: DataFrame | None = None) -> Extracted:
+    """Extract from (paper_id, page, text) and, where given, cell grids (paper_id, page, t_idx, cells), whose mentions stand
+    with those of the text. Sentences are read by every group of properties and mentions by several tables,
     so both are materialised once, in the shared folder."""
     typed = layout.typed_lines(layout.lines(pages))
     blocks = cut(layout.blocks(typed))
@@ -41,8 +43,11 @@ def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Extracted
     spark = pages.sparkSession
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sentences = cut(extract.with_materials(extract.sentences(blocks).repartition(tasks, "paper_id")))
-    linked = cut(extract.link(extract.mentions(sentences, categories, keep=("materials",))))
-    return Extracted(typed, blocks, sentences, linked)
+    linked = extract.link(extract.mentions(sentences, categories, keep=("materials",)))
+    if grids is not None:
+        grids = cut(tables.captioned(tables.headed(grids), blocks))
+        linked = linked.unionByName(tables.linked(grids).where(F.col("category").isin(*categories)), allowMissingColumns=True)
+    return Extracted(typed, blocks, sentences, cut(linked), grids)
 
 
 def strict(df: DataFrame) -> DataFrame:
@@ -99,14 +104,25 @@ def wide_summary(x: Extracted, names: tuple[str, ...] | None = None) -> DataFram
 
 
 def nested(x: Extracted) -> DataFrame:
-    """One JSON record a paper: materials with their properties, relations, equations, figures and workflow."""
+    """One JSON record a paper: materials with their properties, relations, equations, figures, tables, references and workflow."""
     props = properties(x)
     own = props.groupBy("paper_id", "material_id").agg(F.array_sort(F.collect_list(F.struct("property_name", "normalized_value", "unit", "confidence"))).alias("properties"))
     mats = extract.registry(x.linked).join(own, ["paper_id", "material_id"], "left").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("material_id", "normalized_formula", F.map_entries("elements").alias("elements"), "confidence", F.coalesce("properties", F.array().cast("array<struct<property_name:string,normalized_value:string,unit:string,confidence:double>>")).alias("properties")))).alias("materials"))
     rel = relations(x).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("material_id", "property_name", "value"))).alias("relations"))
     flow = annotate.workflow(x.blocks).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("step_order", "stage"))).alias("workflow"))
-    out = mats.join(rel, "paper_id", "full").join(flow, "paper_id", "full")
-    return out.select("paper_id", F.to_json(F.struct("materials", "relations", "workflow")).alias("payload"))
+    parts = [("relations", rel), ("workflow", flow), ("equations", _listed(annotate.equations(x.blocks, x.sentences), "equations", "page", "equation_type", "equation_text", "section", "variables", "context_sentence"))]
+    parts.append(("figures", _listed(annotate.figures(x.blocks), "figures", "page", "figure_number", "caption", "section", "referenced_materials", "referenced_properties", "referenced_tables", "referenced_equations", "mentioned_methods")))
+    if x.grids is not None:
+        parts.append(("tables", _listed(x.grids, "tables", "page", "t_idx", "table_number", "caption", "headers", "material_column", "cells")))
+    parts.append(("references", _listed(layout.references(x.typed), "references", "ref_no", "entry")))
+    out = mats
+    for _, df in parts:
+        out = out.join(df, "paper_id", "full")
+    return out.select("paper_id", F.to_json(F.struct("materials", *(name for name, _ in parts))).alias("payload"))
+
+
+def _listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    return df.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
 def run_report(x: Extracted, pages: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def wide_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested record of each paper."""
-    return pipeline.nested(_x(spark, sf_dir))
+    """The nested record of each paper, with a table of the line items of its part."""
+    return pipeline.nested(pipeline.run(corpus.pages(spark, sf_dir), grids=_paper_grids(spark, sf_dir)))
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +159,20 @@ def workflow_steps(spark: SparkSession, sf_dir: str, pages: Pages = corpus.pages
 
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell grids from line items: one table an order, with a merged header cell."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("q"))
+    return _tabled(table(spark, sf_dir, "lineitem").withColumn("paper_id", F.col("l_orderkey").cast("string")), 1, "l_linenumber")
+
+
+def _paper_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell grids of the papers of the corpus: on its second page each has the line items of its part as a table."""
+    return _tabled(table(spark, sf_dir, "lineitem").withColumn("paper_id", F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))), 2, "l_orderkey", "l_linenumber")
+
+
+def _tabled(items: DataFrame, page: int, *order: str) -> DataFrame:
+    l = items.select("paper_id", *{*order, "l_linenumber"}, F.col("l_quantity").cast("int").cast("string").alias("q"))
     cell = F.array(F.element_at(F.array(*(F.lit(m) for m in corpus.MATERIALS)), F.pmod(F.col("l_linenumber"), F.lit(5)) + 1), F.col("q"), F.concat(F.col("q"), F.lit("0 meV")))
-    g = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cell.alias("c")))).alias("rs"))
+    g = l.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*order, cell.alias("c")))).alias("rs"))
     head = F.array(F.lit("Material"), F.lit("Ionic conductivity (mS/cm)"), F.lit("Activation energy"))
-    return g.select(F.col("l_orderkey").cast("string").alias("paper_id"), F.lit(1).alias("page"), F.lit(1).alias("t_idx"), F.concat(F.array(head), F.transform("rs", lambda r: r["c"])).alias("cells"))
+    return g.select("paper_id", F.lit(page).alias("page"), F.lit(1).alias("t_idx"), F.concat(F.array(head), F.transform("rs", lambda r: r["c"])).alias("cells"))
 
 
 def table_properties(spark: SparkSession, sf_dir: str) -> DataFrame:

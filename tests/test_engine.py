@@ -120,3 +120,17 @@ def test_files_and_sinks(spark, tmp_path):
         documents.append_table(df, f"{tmp_path}/tab", "1")
     assert spark.read.json(f"{tmp_path}/json").count() == spark.read.parquet(f"{tmp_path}/tab").count() == 1
     assert spark.createDataFrame([("<p>a &amp; b</p>c",)], "h string").select(documents.html_text(F.col("h"))).first()[0] == "a & b\nc"
+
+
+def test_tables_join_the_paper(spark):
+    import json
+
+    from ferrule.plans import pipeline
+
+    pages = spark.createDataFrame([("p", 1, "Results\nTable 1. Values at hand.\nAn ionic conductivity of 3 mS/cm was found in LiCoO2.\nD = kT (1)\nFigure 4. SEM of LiCoO2.\nReferences\n[1] One")], "paper_id string, page int, text string")
+    grids = spark.createDataFrame([("p", 1, 1, [["Material", "Ionic conductivity (mS/cm)", "Activation energy, GB (eV)"], ["LFP", "3", "0.3"]])], "paper_id string, page int, t_idx int, cells array<array<string>>")
+    x = pipeline.run(pages, ("ELECTROCHEMICAL",), grids)
+    assert sorted((r.property_name, r.value, r.ea_type, r.material_formula, r.extraction_method, r.sentence[:7]) for r in pipeline.relations(x).collect()) == [("Activation_Energy", "0.3 eV", "grain boundary", "LiFePO4", "table_row", "Table 1"), ("Ionic_Conductivity", "0.003 S/cm", "NONE", "LiCoO2", "proximity", "An ioni"), ("Ionic_Conductivity", "0.003 S/cm", "NONE", "LiFePO4", "table_row", "Table 1")]
+    record = json.loads(pipeline.nested(x).first().payload)
+    assert [m["normalized_formula"] for m in record["materials"]] == ["LiCoO2", "LiFePO4"]
+    assert [len(record[k]) for k in ("equations", "figures", "tables", "references")] == [1, 1, 1, 1] and record["tables"][0]["caption"] == "Table 1. Values at hand."
