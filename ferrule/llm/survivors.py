@@ -46,19 +46,19 @@ def survivors(records: DataFrame, group: str = "dup_group", fields: tuple[str, .
     return best.select(group, *(F.coalesce(F.col(f"{f}.v"), F.lit(NONE)).alias(f) for f in fields), F.coalesce("conf_milli", F.lit(0)).alias("conf_milli"))
 
 
-def discover_truth(records: DataFrame, group: str = "dup_group", fields: tuple[str, ...] = ("normalized_value", "ea_type", "section"), source: tuple[str, ...] = ("source_type", "paper_id"), record_id: str = "mention_id", rounds: int = 5, settled: float = 0.005) -> tuple[DataFrame, DataFrame]:
+def discover_truth(records: DataFrame, group: str = "dup_group", fields: tuple[str, ...] = ("normalized_value", "ea_type", "section"), source: tuple[str, ...] = ("source_type", "paper_id"), record_id: str = "mention_id", rounds: int = 200, settled: float = 0.005) -> tuple[DataFrame, DataFrame]:
     """(values, reliabilities): the value of highest support for each field of each group, and each source's reliability.
 
     values: (group, field, value, support from 0 to 1, n_values); ties go to the smaller value. A source is a combination
     of ``source`` columns, null counting as one of them; repeated records count once. All claims take part in each round;
-    the claims are aggregated to (group, field, value, source) first, so that rounds don't see records again.
+    the claims are aggregated to (group, field, value, source) first, so that rounds don't see records again. Rounds go on
+    until no reliability changes by ``settled`` or more; if ``rounds`` aren't enough for that, it is an error.
     """
     claim = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), value_of(f).alias("value")) for f in fields))).alias("x")
     who = F.concat_ws("\u0001", *(F.coalesce(F.col(s).cast("string"), F.lit(NONE)) for s in source)).alias("source")
     claims = records.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(record_id).alias("r"), who, claim).select("g", "r", "source", "x.field", "x.value").where("value is not null").distinct()
     claims = cut(claims.groupBy("g", "field", "value", "source").agg(F.count("*").alias("n")))
     trust = claims.select("source").distinct().withColumn("trust", F.lit(0.8))
-    change = 1.0
     for _ in range(rounds):
         votes = claims.join(trust, "source").withColumn("w", F.col("n") * F.log((1 + F.col("trust")) / (1.02 - F.col("trust"))))
         support = votes.groupBy("g", "field", "value").agg(F.sum("w").alias("w"))
@@ -71,6 +71,8 @@ def discover_truth(records: DataFrame, group: str = "dup_group", fields: tuple[s
         trust = fresh
         if change < settled:
             break
+    else:
+        raise RuntimeError(f"reliabilities still change by {change:.4f} after {rounds} rounds")
     votes = claims.join(trust, "source").groupBy("g", "field", "value").agg(F.sum(F.col("n") * F.log((1 + F.col("trust")) / (1.02 - F.col("trust")))).alias("w"))
     best = votes.groupBy("g", "field").agg(F.max_by("value", F.struct(F.col("w"), F.hex("value"))).alias("value"), (F.max("w") / F.sum("w")).alias("support"), F.count("*").alias("n_values"))
     return best.withColumnRenamed("g", group), trust

@@ -52,3 +52,13 @@ def test_scales(spark, value, milli):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(survivors.confidence_milli(F.lit(value))).first()[0] in (milli, (milli or 0) - 1 if value == 0.4365 else milli)
+
+
+def test_truth_settles_or_says_so(spark):
+    rows = [(i * 10 + k, i, v, None, None, 0.5, None, s, "1", "") for i in range(40) for k, (s, v) in enumerate((("a", "x"), ("b", "x" if i % 2 else "y"), ("c", "y" if i % 3 else "x")))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    by = {"source": ("source_type",), "fields": ("normalized_value",)}
+    a, b = (survivors.discover_truth(df, **by, settled=s)[1] for s in (0.0001, 0.00001))
+    assert {r.source: round(r.trust, 2) for r in a.collect()} == {r.source: round(r.trust, 2) for r in b.collect()}
+    with pytest.raises(RuntimeError):
+        survivors.discover_truth(df, **by, rounds=1, settled=0.00001)
