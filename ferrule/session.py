@@ -14,10 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where the session names none, a temporary one
+    serves a master that runs on this machine alone; on a cluster it is an error, as executors couldn't read it."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(sc, "_ferrule_shared", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="ferrule-")
@@ -38,3 +41,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written`, with its place noted, so that :func:`discard` can remove it once nothing reads it any more."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (out, path)
+    return out
+
+
+_PLACES: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what :func:`stored` wrote for this DataFrame; nothing may read it after."""
+    _, path = _PLACES.pop(id(df), (None, None))
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
