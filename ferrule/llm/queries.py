@@ -26,8 +26,8 @@ def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each papers row whose work came before, with the row that was first."""
-    return history.repeats(table(spark, sf_dir, "papers").select("paper_id", "title", "doi", "filename"))
+    """Each papers row whose work came before, with the row that was first: the batches taken in one after the other."""
+    return history.repeats(table(spark, sf_dir, "papers").select("paper_id", "title", "doi", "filename", "batch_no"), batch="batch_no")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
