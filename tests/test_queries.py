@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ferrule.plans import processing, reference_queries
 
 SLOW = {"all_mentions"}
-CORE = [n for n in entry.oracle_sql() if not n.startswith("p") or not n[1].isdigit()]
+CORE = [*reference_queries.ORACLES, *processing.ORACLES]
 
 
 def rows(df):
