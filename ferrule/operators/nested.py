@@ -27,15 +27,14 @@ NODE = T.StructType([
 
 
 def read_payload(text: str | None) -> Any:
-    """The JSON value of a payload, also if it was encoded again as a string or starts with a byte order mark; None if unreadable."""
-    for _ in range(4):
-        if not isinstance(text, str):
-            return text
+    """The JSON value of a payload, however often it was encoded again as a string, with or without a byte order mark; None
+    if it is unreadable (that includes nesting beyond what the JSON parser itself can take)."""
+    while isinstance(text, str):
         try:
-            text = json.loads(text.lstrip("﻿").strip())
+            text = json.loads(text.lstrip("\ufeff").strip())
         except (ValueError, RecursionError):
             return None
-    return None
+    return text
 
 
 def _text(v: Any) -> str:
@@ -48,13 +47,14 @@ def _text(v: Any) -> str:
 
 
 def _inner(v: Any) -> Any:
-    """An object or list that was encoded as a string inside the payload; other values as they are."""
-    if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
+    """An object or list that was encoded as a string inside the payload, however often; other values as they are."""
+    x = v
+    while isinstance(x, str) and x.lstrip()[:1] in ("{", "[", '"'):
         try:
-            return json.loads(v)
+            x = json.loads(x)
         except (ValueError, RecursionError):
             return v
-    return v
+    return x if isinstance(x, (dict, list)) else v
 
 
 def _thousandths(v: Any) -> str:
@@ -94,25 +94,27 @@ class _Walk:
     def emit(self, kind: str, place: int, label: str, val: str, link: str | None, at: int) -> None:
         self.out.append((kind, at, self.leave(), place, label, val, link))
 
-    def paper(self, v: Any, depth: int = 0) -> None:
-        """A paper, or what wraps one or more."""
-        self.enter()
-        if isinstance(v, list):
-            for x in v:
-                self.paper(_inner(x), depth + 1)
-        elif isinstance(v, dict):
-            known = "materials" in v or "relations" in v
-            for k, x in v.items():
-                x = _inner(x)
-                if k == "materials":
-                    self.each(x, self.material)
-                elif k == "relations":
-                    self.each(x, self.relation)
-                elif not known and depth < 8 and isinstance(x, (dict, list)):
-                    self.paper(x, depth + 1)
+    def paper(self, v: Any) -> None:
+        """A paper, or what wraps one or more, to any depth: a stack holds what is still to be entered or left."""
+        stack: list[tuple[Any, Any]] = [(None, v)]
+        while stack:
+            k, x = stack.pop()
+            if isinstance(x, _Leave):
+                self.leave()
+            elif k == "materials":
+                self.each(x, self.material)
+            elif k == "relations":
+                self.each(x, self.relation)
+            elif k == "skip" or not isinstance(x, (dict, list)):
+                self.skip(x)
+            else:
+                self.enter()
+                stack.append((None, _LEAVE))
+                if isinstance(x, list):
+                    stack.extend((None, _inner(y)) for y in reversed(x))
                 else:
-                    self.skip(x)
-        self.leave()
+                    known = "materials" in x or "relations" in x
+                    stack.extend((n if n in ("materials", "relations") else "skip" if known else None, _inner(y)) for n, y in reversed(x.items()))
 
     def each(self, v: Any, child: Any) -> None:
         """The children of a list; a lone object counts as a list of one."""
@@ -198,10 +200,7 @@ def payload_nodes(text: str | None) -> list[tuple]:
     if not isinstance(v, (dict, list)):
         return []
     walk = _Walk()
-    try:
-        walk.paper(v)
-    except RecursionError:
-        return []
+    walk.paper(v)
     return walk.out
 
 

@@ -59,3 +59,20 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, text), (1, text)], "record_id long, payload string")
     assert nested.children(nested.nodes(df)).count() == len(WANT)
     assert nested.children(nested.nodes(df.limit(0))).count() == 0
+
+
+def test_any_depth():
+    """Materials under 500 wrappers, and a payload encoded ten times as a string."""
+    import json
+
+    v = {"materials": [{"material_id": "m", "normalized_formula": "LiF"}]}
+    want = [("material", "LiF", "m")]
+    deep = v
+    for i in range(500):
+        deep = {"inner": deep} if i % 2 else [deep]
+    text = json.dumps(v)
+    for _ in range(10):
+        text = json.dumps(text)
+    for payload in (json.dumps(deep), text, json.dumps({"a": json.dumps(json.dumps(v))})):
+        assert [(n[0], n[4], n[5]) for n in nested.payload_nodes(payload)] == want
+    assert nested.payload_nodes("[" * 100_000 + "]" * 100_000) == []
