@@ -4,8 +4,9 @@ A field is cut into tokens: quoted groups, runs of ordinary text, and delimiters
 says what it can be (a full name, a lone surname, given names, a suffix, a phrase for unnamed others, a delimiter), and
 the signs in order are the field's *delimiter skeleton*. Fields of the same form share a skeleton however the names read,
 so the question which tokens make up which value is answered once per distinct skeleton, in Python, and the answer (the
-positions of each value's tokens) is joined back and applied by position inside the JVM. The table of rules is left to
-the optimizer to broadcast: adaptive execution does so when its measured size allows, and joins by hash beyond that.
+positions of each value's tokens) is joined back and applied by position inside the JVM. The table of rules is measured:
+up to ``RULE_BYTES`` it is broadcast, so that the fields aren't shuffled; beyond that both sides are joined by skeleton and
+salt, as a few skeletons (one author, two authors) hold most of the fields.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.functions.text import BLANK, squeeze, stated
+from ferrule.session import stored
+
+#: The rules are broadcast if they take no more bytes than this, and are copied to so many salts otherwise.
+RULE_BYTES, SALTS = 64 << 20, 16
 
 #: Affiliation marks: digits, superscripts and signs at the end of a word.
 _MARKS = r"(?<=[\p{L}\p{M}.'’])(?:[0-9\u00b9\u00b2\u00b3\u2070-\u2079*†‡§¶#]+|\^\{?[0-9,*]+\}?)(?:\s*,\s*(?:[0-9\u00b9\u00b2\u00b3\u2070-\u2079]{1,2}(?![\p{L}0-9])|[*†‡§¶#])+)*"
 _OTHERS = r"(?:(?:\b(?:[Aa]nd|[Uu]nd)\s+|&\s*)?(?:\(?\b[Ee][Tt]\s+[Aa][Ll]\b\.?\)?|\b(?:\d+\s+)?(?:[Oo]thers|[Cc]o-?workers|[Cc]olleagues|[Aa]ndere|[Ww]eitere)\b)|\b[Uu]\.\s?[Aa]\.)"
 _AND = r"(?:\b(?:and|und|And|Und|AND|UND)\b|&)"
-_QUOTED = r'"(?:[^"\\]|""|\\.)*"(?!")'
-_LISTED = r"(?<=[\[,]\s?)'(?:[^'\\]|\\.)*'(?=\s?[\],])"
+# possessive runs rather than a loop over alternatives, which would take a stack frame for each character
+_QUOTED = r'"[^"\\]*+(?:(?:""|\\.)[^"\\]*+)*+"(?!")'
+_LISTED = r"(?<=[\[,]\s?)'[^'\\]*+(?:\\.[^'\\]*+)*+'(?=\s?[\],])"
 #: Order matters: quoted groups, unnamed others, delimiters, then text up to the next of these (looked for at the start of each word).
 _WORD = rf"(?!{_OTHERS}|{_AND})[^;|/•·,\s\[\]\"]++"
 TOKEN = rf"{_QUOTED}|{_LISTED}|{_OTHERS}|{_AND}|[;|/•·,\t\n\r\[\]\"]|{_WORD}(?: {_WORD})*+|\s"
@@ -93,7 +99,7 @@ def resolve(skeleton: str) -> list[list[int]]:
     return values
 
 
-def split_names(rows: DataFrame, row_id: str, field: str) -> DataFrame:
+def split_names(rows: DataFrame, row_id: str, field: str, rule_bytes: int = RULE_BYTES) -> DataFrame:
     """One row per name of a packed field: (``row_id``, pos_no from 1, author as written).
 
     Quotes, escapes, delimiters and affiliation marks are gone, inner white space is one space. Null, blank and
@@ -103,17 +109,24 @@ def split_names(rows: DataFrame, row_id: str, field: str) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(stated(F.col(field)), r"[\u00a0\u2000-\u200a\u202f\u3000]", " "), "[\u200b\ufeff]", "")
     text = F.when(text.rlike(r"[0-9\u00b9\u00b2\u00b3\u2070-\u2079*†‡§¶#]"), F.regexp_replace(text, _MARKS, "")).otherwise(text)
     text = F.regexp_replace(text, r"[ \f\u000b]+", " ")
-    fields = rows.select(F.col(row_id).alias("_id"), text.alias("_t")).where("_t is not null").dropDuplicates(["_id"])
+    fields = rows.select(F.col(row_id).alias("_id"), F.col(field)).where(F.col(field).isNotNull()).dropDuplicates(["_id"]).select("_id", text.alias("_t")).where("_t is not null")
     fields = fields.select("_id", F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)).alias("_tok"))
-    fields = fields.select("_id", "_tok", F.array_join(F.transform("_tok", _sign), "").alias("_sk"))
+    fields = stored(fields.select("_id", "_tok", F.array_join(F.transform("_tok", _sign), "").alias("_sk")), "split-tokens")  # tokenised once, read twice
 
     def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"_sk": b["_sk"], "_rule": [resolve(s) for s in b["_sk"]]})
 
     schema = T.StructType([T.StructField("_sk", T.StringType()), T.StructField("_rule", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    rule = fields.select("_sk").distinct().mapInPandas(rules, schema)
-    out = fields.join(rule, "_sk").select("_id", "_tok", F.posexplode("_rule").alias("_pos", "_at"))
+    rule = stored(fields.select("_sk").distinct().mapInPandas(rules, schema), "split-rules")
+    # a position takes four bytes, a value's list some more, and the skeleton a byte a token
+    held = rule.agg(F.sum(64 + F.length("_sk") + 4 * F.size(F.flatten("_rule")) + 24 * F.size("_rule"))).first()[0] or 0
+    if held <= rule_bytes:
+        out = fields.join(F.broadcast(rule), "_sk")
+    else:
+        salted = rule.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = fields.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_sk", "_salt"])
+    out = out.select("_id", "_tok", F.posexplode("_rule").alias("_pos", "_at"))
     value = F.array_join(F.transform("_at", lambda i: F.element_at("_tok", i + 1)), "")
     value = squeeze(F.regexp_replace(value, r"\\([\"'\\])", "$1"))
     # the quotes around a whole group go, doubled quotes inside it are one

@@ -2,6 +2,7 @@
 
 import pytest
 
+from ferrule.operators import split_values
 from ferrule.operators.split_values import split_names
 
 CASES = {
@@ -47,3 +48,13 @@ def test_very_long_and_empty(spark):
     one = split_names(spark.createDataFrame([("p", "; ".join(names))], "paper_id string, authors string"), "paper_id", "authors")
     assert [r.author for r in one.orderBy("pos_no").collect()] == names
     assert split_names(spark.createDataFrame([], "paper_id string, authors string"), "paper_id", "authors").count() == 0
+
+
+def test_fields_of_any_length(spark):
+    """A quoted group and a listed one of a million characters, and rules that are too large to be broadcast."""
+    long = "x" * 1_000_000
+    rows = [("1", f'"A {long}"; B. Doe'), ("2", f"['A {long}', 'B. Doe']"), ("3", "Jane Roe; Ann Poe")]
+    df = spark.createDataFrame(rows, "id string, a string")
+    for most in (split_values.RULE_BYTES, 0):
+        got = sorted((r.id, r.pos_no, len(r.author)) for r in split_values.split_names(df, "id", "a", most).collect())
+        assert got == [("1", 1, 1_000_002), ("1", 2, 6), ("2", 1, 1_000_002), ("2", 2, 6), ("3", 1, 8), ("3", 2, 7)]
