@@ -15,6 +15,9 @@ MISSING = ("", "none", "null", "nil", "nan", "n/a", "n.a.", "na", "n.d.", "nd",
 #: White space in the wide sense, for regular expressions of Java.
 BLANK = r"[\s\u0085   -​    　﻿]"
 
+#: The same, one character after the other, for ``btrim``.
+BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def strip(c: Column) -> Column:
     """Without outer white space of any kind (``trim`` takes blanks only)."""

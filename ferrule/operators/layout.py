@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import strip
+from ferrule.functions.text import BLANKS, nfkc
 
 # The wordings of section headings, by canonical name.
 SECTIONS: dict[str, tuple[str, ...]] = {
@@ -23,7 +23,12 @@ SECTIONS: dict[str, tuple[str, ...]] = {
 }
 # How prose lines begin that aren't equations.
 PROSE = ("the ", "this ", "in ", "for ", "we ", "it ", "these", "when ", "if ", "a ", "an ", "as ", "to ", "that ")
-CAPTION = r"(?iu)^(Fig(?:ure)?s?|Table)\.?\s*(\d+)"
+# What captions begin with, what stands before a year of publication, and how a DOI is written (the form that
+# its registration agency recommends for matching).
+FIGURE_WORDS, TABLE_WORDS = ("figures", "figure", "figs", "fig"), ("table",)
+YEAR_WORDS = ("©", "Received", "Published", "Accepted", "Copyright")
+DOI = r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)"
+CAPTION = rf"(?iu)^({'|'.join((*FIGURE_WORDS, *TABLE_WORDS))})[.]?\s*([0-9]+)"
 START = "Metadata/Header"
 #: Headings are read with the numbering in front taken off; a roman number must be followed by a mark or a blank, so that
 #: "Introduction" keeps its first letter. ``strict=False`` takes leading letters of roman numbers off as well.
@@ -32,17 +37,23 @@ LOOSE_NUMBERING = r"^[ivx\d.\s]*"
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(paper_id, page, line_no, line): the trimmed lines of each page that aren't empty, numbered as they stand."""
-    return pages.select("paper_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    """(paper_id, page, line_no, line): the trimmed lines of each page that aren't empty, numbered as they stand.
+
+    The text is composed for compatibility first, so that superscripts, ligatures and the like are plain; Python sees only
+    pages that hold other characters than ASCII.
+    """
+    text = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), nfkc(F.col("text"))).otherwise(F.col("text"))
+    each = pages.select("paper_id", "page", text.alias("text")).select("paper_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
 def section_of(line: Column, strict: bool = True) -> Column:
     """The canonical section that a line is the heading of, else null: a short line that begins with one of the wordings."""
-    head = F.regexp_replace(F.lower(line), NUMBERING if strict else LOOSE_NUMBERING, "")
-    found = None
-    for wording, name in sorted(((w, n) for n, ws in SECTIONS.items() for w in ws), key=lambda x: -len(x[0])):
-        found = F.when(head.startswith(wording), name) if found is None else found.when(head.startswith(wording), name)
-    return F.when(F.length(line) < 60, found)
+    names = {w: n for n, ws in SECTIONS.items() for w in ws}
+    wordings = "|".join(sorted(names, key=lambda w: -len(w)))
+    # one expression takes the numbering off and finds the longest wording
+    head = F.regexp_extract(F.lower(line), f"{NUMBERING if strict else LOOSE_NUMBERING}({wordings})", 1)
+    return F.when(F.length(line) < 60, F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.nullif(head, F.lit(""))))
 
 
 def is_equation(line: Column) -> Column:
@@ -52,7 +63,11 @@ def is_equation(line: Column) -> Column:
     prose = F.lit(False)
     for p in PROSE:
         prose = prose | F.lower(line).startswith(p)
-    return line.contains("=") & (F.length(line) <= 80) & ~prose & (line.rlike(r"=.*\(\s*\d+\s*\)\s*$") | ((F.size(words) <= 12) & (F.size(long_words) <= 1)))
+    # numbered: what follows the last opening bracket is a number and the closing one, and an equals sign comes before
+    tail = F.substring_index(line, "(", -1)
+    number = F.trim(F.regexp_replace(tail, r"\)\s*$", ""))
+    numbered = F.rtrim(tail).endswith(")") & number.rlike("^[0-9]+$") & F.substring(line, F.lit(1), F.length(line) - F.length(tail)).contains("=")
+    return line.contains("=") & (F.length(line) <= 80) & ~prose & (numbered | ((F.size(words) <= 12) & (F.size(long_words) <= 1)))
 
 
 def typed_lines(line_rows: DataFrame, strict: bool = True) -> DataFrame:
@@ -82,31 +97,34 @@ def blocks(typed: DataFrame) -> DataFrame:
 def references(typed: DataFrame) -> DataFrame:
     """(paper_id, ref_no, entry): the entries of reference lists; lines that don't begin an entry are joined to the one before."""
     w = Window.partitionBy("paper_id").orderBy("page", "line_no")
-    starts = F.col("line").rlike(r"^\[?\d{1,3}\]?\.?\s+\S")
+    # an entry begins with a number of one to three digits, plain, dotted or in brackets, and has a text behind it
+    first = F.split("line", r"\s+", 2)
+    digits = F.translate(F.rtrim(F.get(first, F.lit(0))), "[].", "")
+    starts = digits.rlike("^[0-9]{1,3}$") & F.coalesce(F.length(F.get(first, F.lit(1))) > 0, F.lit(False))
     r = typed.where("type = 'reference'").withColumn("n", F.sum(starts.cast("int")).over(w))
     r = r.groupBy("paper_id", "n").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))).alias("ls"))
     return r.select("paper_id", (F.row_number().over(Window.partitionBy("paper_id").orderBy("n"))).alias("ref_no"), F.array_join(F.transform("ls", lambda x: x["line"]), " ").alias("entry"))
 
 
 def doi_and_year(pages: DataFrame, info: DataFrame | None = None) -> DataFrame:
-    """(paper_id, doi, publication_year): the first DOI of the first, else the last page; the first plausible year after
-    a word like Published or Received, else any, else that of the creation date; NONE where there is none."""
+    """(paper_id, doi, publication_year): the first DOI of the first page, else of the last, else of title or journal; the
+    first plausible year after a word like Published on the first page, else the last, else any year there, else that of
+    the creation date; NONE where there is none. ``info``: (paper_id, title, journal, creation_date), all of them optional."""
     this_year = date.today().year + 1
-    edge = pages.groupBy("paper_id").agg(F.min_by("text", "page").alias("first"), F.max_by("text", "page").alias("last"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("all"))
-    doi = r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)"
+    edge = pages.groupBy("paper_id").agg(F.min_by("text", "page").alias("first"), F.max_by("text", "page").alias("last"))
+    if info is not None:
+        edge = edge.join(info.select("paper_id", *(F.col(c) if c in info.columns else F.lit(None).cast("string").alias(c) for c in ("title", "journal", "creation_date"))), "paper_id", "left")
+    else:
+        edge = edge.withColumns({c: F.lit(None).cast("string") for c in ("title", "journal", "creation_date")})
 
-    def find(c: Column) -> Column:
-        return F.nullif(F.regexp_replace(F.regexp_extract(c, doi, 1), r"[.,;)]+$", ""), F.lit(""))
+    def found(c: str) -> Column:
+        return F.nullif(F.rtrim(F.regexp_extract(c, DOI, 1), F.lit(".,;)")), F.lit(""))
 
-    def plausible(c: Column) -> Column:
-        return F.filter(c, lambda y: (y.cast("int") >= 1950) & (y.cast("int") <= this_year))
+    def plausible(y: Column) -> Column:
+        return F.when(y.cast("int").between(1950, this_year), y)
 
-    text = F.array_join(F.transform("all", lambda x: x["text"]), "\n")
-    near = plausible(F.regexp_extract_all(text, F.lit(r"(?iu)(?:©|Received|Published|Accepted|Copyright)[^\d]{0,20}(\d{4})"), F.lit(1)))
-    any_ = plausible(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)))
-    out = edge.select("paper_id", F.coalesce(find(F.col("first")), find(F.col("last")), F.lit("NONE")).alias("doi"), F.try_element_at(near, F.lit(1)).alias("y1"), F.try_element_at(any_, F.lit(1)).alias("y2"))
-    if info is not None:
-        out = out.join(info.select("paper_id", F.nullif(F.regexp_extract("creation_date", r"((?:19|20)\d{2})", 1), F.lit("")).alias("y3")), "paper_id", "left")
-    else:
-        out = out.withColumn("y3", F.lit(None).cast("string"))
-    return out.select("paper_id", "doi", F.coalesce("y1", "y2", "y3", F.lit("NONE")).alias("publication_year"))
+    near = rf"(?iu)(?:{'|'.join(YEAR_WORDS)})\D{{0,20}}([0-9]{{4}})"
+    told = [plausible(F.nullif(F.regexp_extract(c, near, 1), F.lit(""))) for c in ("first", "last")]
+    any_ = [F.try_element_at(F.filter(F.regexp_extract_all(c, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int").between(1950, this_year)), F.lit(1)) for c in ("first", "last")]
+    made = plausible(F.nullif(F.regexp_extract("creation_date", "((?:19|20)[0-9]{2})", 1), F.lit("")))
+    return edge.select("paper_id", F.coalesce(*(found(c) for c in ("first", "last", "title", "journal")), F.lit("NONE")).alias("doi"), F.coalesce(*told, *any_, made, F.lit("NONE")).alias("publication_year"))

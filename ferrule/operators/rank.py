@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NONE = "NONE"
-TOP, CAP = 5, 3
+TOP, CAP, TABLE_ROW = 5, 3, 0.95
 KEY = ("block_no", "sent_no", "prop_idx", "match_no")
 
 
@@ -29,7 +29,9 @@ def ranked(mention_rows: DataFrame) -> DataFrame:
 
 
 def relations(linked: DataFrame, cap: int = CAP) -> DataFrame:
-    """Links of mentions to materials, at most ``cap`` of each material, property and value, the surest first."""
+    """Links of mentions to materials, at most ``cap`` of each material, property and value, the surest first. A link is as
+    sure as its sentence and a little more, however many agree; one of a table row has the confidence of table rows."""
     w = Window.partitionBy("paper_id", "formula", "category", "property_name", "normalized_value").orderBy(F.desc("relation_confidence"), *KEY)
-    r = linked.where("formula is not null").withColumn("relation_confidence", F.round(F.least(F.lit(0.99), F.col("confidence") + 0.1), 6))
+    sure = F.when(F.col("extraction_method") == "table_row", F.lit(TABLE_ROW)).otherwise(F.round(F.least(F.lit(0.99), F.col("score") + 0.1), 6))
+    r = linked.where("formula is not null").withColumn("relation_confidence", sure)
     return r.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrule.functions.lexicon import ENTRIES
-from ferrule.functions.text import strip
-from ferrule.operators.extract import EA_PROPERTIES, ea_type, materials_in, normalise
+from ferrule.functions.numbers import numbers
+from ferrule.functions.text import BLANKS, nfkc
+from ferrule.functions.wording import any_of
+from ferrule.operators.extract import EA_PROPERTIES, ea_type_in, materials_in, normal_text
 
 NONE = "NONE"
 # What a column's header names, longest wording first; and the headers of material columns.
@@ -25,26 +30,46 @@ CONFIDENCE = {"material": 0.85, "field": 0.9, "relation": 0.95}
 _ENTRY = {e.name: e for e in ENTRIES if e.category == CATEGORY_OF.get(e.name, e.category)}
 
 
-def header_row(cells: Column) -> Column:
+#: A header that begins with the symbol of an activation energy.
+_EA_HEADER = rf"(?i)^\s*{any_of(('E~(_)~a',))}\b"
+#: What may follow a number in a cell as its unit.
+_CELL_UNIT = re.compile(r"\s*([A-Za-zΩ°μ%][\w/.^%°μΩ⁻−-]*)")
+
+
+def cleaned(grids: DataFrame) -> DataFrame:
+    """Grids whose cells are composed for compatibility, on one line and trimmed, null cells empty. Grids without a row or
+    whose first row is empty are left out."""
+
+    def clean(c: Column) -> Column:
+        return F.btrim(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(BLANKS))
+
+    # one string a grid goes through Python, and only where it holds other characters than ASCII
+    flat = F.to_json("cells")
+    cells = F.when(flat.rlike(r"[^\x00-\x7F]"), F.from_json(nfkc(flat), "array<array<string>>")).otherwise(F.col("cells"))
+    g = grids.where("size(cells) > 0 and size(cells[0]) > 0").withColumn("cells", cells)
+    return g.withColumn("cells", F.transform("cells", lambda r: F.transform(r, clean)))
+
+
+def header_row(first: Column) -> Column:
     """Names of a grid's columns: merged (empty) header cells take the name before them, 'Column' at the start; repeats get _2, _3."""
-    clean = F.transform(F.element_at(cells, 1), lambda c: strip(F.coalesce(c, F.lit(""))))
-    filled = F.aggregate(clean, F.array().cast("array<string>"), lambda acc, c: F.concat(acc, F.array(F.when(c != "", c).otherwise(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("Column"))))))
+    filled = F.aggregate(first, F.array().cast("array<string>"), lambda acc, c: F.concat(acc, F.array(F.when(c != "", c).otherwise(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("Column"))))))
     return F.transform(filled, lambda c, i: F.when(F.size(F.filter(F.slice(filled, 1, i + 1), lambda x: x == c)) == 1, c).otherwise(F.concat(c, F.lit("_"), F.size(F.filter(F.slice(filled, 1, i + 1), lambda x: x == c)).cast("string"))))
 
 
 def headed(grids: DataFrame) -> DataFrame:
-    """Grids (paper_id, page, t_idx, cells) with ``headers`` and ``material_column`` (null if none)."""
-    g = grids.withColumn("headers", header_row(F.col("cells")))
-    named = F.filter("headers", lambda h: F.lower(F.trim(h)).isin(*MATERIAL_HEADERS))
+    """Grids (paper_id, page, t_idx, cells) cleaned, with ``headers`` and ``material_column`` (null if none)."""
+    g = cleaned(grids).withColumn("headers", header_row(F.element_at("cells", 1)))
+    named = F.filter("headers", lambda h: F.lower(h).isin(*MATERIAL_HEADERS))
     return g.withColumn("material_column", F.try_element_at(named, F.lit(1)))
 
 
 def rows(headed_grids: DataFrame) -> DataFrame:
     """(paper_id, page, t_idx, row_no, headers, material_column, row): each data row that isn't empty as a map of header to
-    cell; cells beyond the headers are Column_i."""
+    cell; cells beyond the headers are Column_i, counted from 0 (with a + where a header has that name)."""
     r = headed_grids.select("paper_id", "page", "t_idx", "headers", "material_column", F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1)))).alias("row_no", "cs"))
-    r = r.withColumn("cs", F.transform("cs", lambda c: strip(F.coalesce(c, F.lit(""))))).where(F.exists("cs", lambda c: c != ""))
-    pairs = F.transform("cs", lambda c, i: F.struct(F.coalesce(F.try_element_at(F.col("headers"), i + 1), F.concat(F.lit("Column_"), (i + 1).cast("string"), F.when(F.array_contains("headers", F.concat(F.lit("Column_"), (i + 1).cast("string"))), "+").otherwise(""))).alias("k"), c.alias("v")))
+    r = r.where(F.exists("cs", lambda c: c != ""))
+    name = lambda i: F.concat(F.lit("Column_"), i.cast("string"))
+    pairs = F.transform("cs", lambda c, i: F.struct(F.coalesce(F.try_element_at(F.col("headers"), i + 1), F.concat(name(i), F.when(F.array_contains("headers", name(i)), "+").otherwise(""))).alias("k"), c.alias("v")))
     return r.withColumn("row", F.map_from_entries(pairs)).drop("cs")
 
 
@@ -60,51 +85,76 @@ def captioned(grids: DataFrame, captions: DataFrame) -> DataFrame:
 def property_of(header: Column) -> Column:
     """The property that a header names, null if none; a header that begins like E_a is an activation energy."""
     low = F.lower(header)
-    c = F.when(header.rlike(r"(?i)^\s*E\s*_?\s*a\b"), "Activation_Energy")
+    c = F.when(header.rlike(_EA_HEADER), "Activation_Energy")
     for wording, name in sorted(HEADERS, key=lambda x: -len(x[0])):
         c = c.when(low.contains(wording), name)
     return c
 
 
+def read_cell(cell: str, bracket: str | None, kind: str) -> str:
+    """The normalised value that begins a cell, with the unit of the cell or else the one given; NONE if there is none."""
+    n = next(iter(numbers(cell)), None)
+    if n is None or n.start:
+        return NONE
+    unit = next((u[1] for u in (_CELL_UNIT.match(cell, e) for e in (n.past, n.end)) if u), None)
+    return normal_text(n.text, unit or (bracket or "").strip(), kind)
+
+
+@F.pandas_udf(T.StringType())
+def _read_cells(cell: pd.Series, bracket: pd.Series, kind: pd.Series) -> pd.Series:
+    known: dict[tuple, str] = {}
+    return pd.Series([known[x] if x in known else known.setdefault(x, read_cell(*x)) for x in zip(cell, bracket, kind)], dtype=object)
+
+
 def table_mentions(table_rows: DataFrame) -> DataFrame:
-    """(…, row_no, col_no, property_name, category, raw_value, normalized_value, unit, confidence, formula, extraction_method):
+    """(…, row_no, col_no, property_name, category, raw_value, normalized_value, unit, confidence, found, extraction_method):
     the value that begins each property cell, with the unit of the cell or else the last one in brackets in its header,
-    linked to the first material of the row's material cell."""
-    cell = table_rows.select("paper_id", "page", "t_idx", "row_no", "row", "material_column", F.posexplode("headers").alias("col_no", "header"))
-    cell = cell.withColumn("property_name", property_of(F.col("header"))).where("property_name is not null and (material_column is null or header <> material_column)")
+    linked to the first material of the row's material cell (``found``)."""
+    # what depends on the grid or the row alone is worked out before cells part
+    props = F.transform("headers", lambda h: F.struct(property_of(h).alias("p"), F.try_element_at(F.regexp_extract_all(h, F.lit(r"\(([^)]+)\)"), F.lit(1)), F.lit(-1)).alias("u")))
+    found = F.slice(materials_in(F.coalesce(F.element_at("row", F.col("material_column")), F.lit(""))), 1, 1)
+    r = table_rows.select("paper_id", "page", "t_idx", "row_no", "row", "material_column", "headers", found.alias("found"), props.alias("props"))
+    r = r.withColumn("row_text", F.array_join(F.transform(F.filter(F.arrays_zip("headers", "props"), lambda x: x["props"]["p"].isNull()), lambda x: F.element_at(F.col("row"), x["headers"])), " "))
+    cells = F.transform("headers", lambda h, i: F.struct(i.alias("col_no"), h.alias("header"), F.get("props", i)["p"].alias("property_name"), F.get("props", i)["u"].alias("bracket"), F.element_at(F.col("row"), h).alias("cell")))
+    wanted = F.filter(cells, lambda c: c["property_name"].isNotNull() & (c["cell"] != "") & ~F.equal_null(c["header"], F.col("material_column")))
+    c = r.select("paper_id", "page", "t_idx", "row_no", "found", "row_text", F.inline(wanted))
     names = sorted({n for _, n in HEADERS})
-    kinds = F.create_map(*(F.lit(x) for n in names for x in (n, _ENTRY[n].kind)))
-    cats = F.create_map(*(F.lit(x) for n in names for x in (n, _ENTRY[n].category)))
-    c = cell.withColumns({"kind": F.element_at(kinds, F.col("property_name")), "category": F.element_at(cats, F.col("property_name")), "cell": F.element_at("row", F.col("header"))})
-    number = r"^\s*([-−]?\d+(?:\.\d+)?(?:\s*(?:[eE][-−+]?\d+|[xX×*]\s*10\^?[-−]?\d+))?)\s*(?:(?:±|\+/-)\s*\d+(?:\.\d+)?)?\s*([A-Za-zΩ°μµÅ%][^\s,;)]*)?"
-    bracket = F.try_element_at(F.regexp_extract_all("header", F.lit(r"\(([^)]+)\)"), F.lit(1)), F.lit(-1))
-    own = F.nullif(F.regexp_extract("cell", number, 2), F.lit(""))
-    value = F.when(F.col("kind") == "string", F.col("cell")).otherwise(F.regexp_extract("cell", number, 1))
-    c = c.withColumns({"number": value, "unit_text": F.coalesce(own, bracket, F.lit(""))}).where("cell <> ''")
-    c = c.withColumn("normalized_value", normalise(F.col("number"), F.col("unit_text"), F.col("kind"))).where(F.col("normalized_value") != NONE)
-    material = F.element_at("row", F.col("material_column"))
-    found = materials_in(F.coalesce(material, F.lit("")))
+    kinds, cats = (F.create_map(*(F.lit(x) for n in names for x in (n, getattr(_ENTRY[n], f)))) for f in ("kind", "category"))
+    c = c.withColumns({"kind": F.element_at(kinds, F.col("property_name")), "category": F.element_at(cats, F.col("property_name"))})
+    c = c.withColumn("normalized_value", _read_cells("cell", "bracket", "kind")).where(F.col("normalized_value") != NONE)
     unit = F.coalesce(F.nullif(F.regexp_extract("normalized_value", r"^\S+ (.+)$", 1), F.lit("")), F.lit(NONE))
-    c = c.withColumns({"found": found, "unit": F.when(F.col("kind") == "string", NONE).otherwise(unit)})
-    return c.select("paper_id", "page", "t_idx", "row_no", "col_no", "category", "property_name", F.col("cell").alias("raw_value"), "normalized_value", "unit", F.lit(CONFIDENCE["field"]).alias("confidence"), F.try_element_at("found", F.lit(1))["formula"].alias("formula"), F.when(F.size("found") > 0, "table_row").alias("extraction_method"))
+    return c.select("paper_id", "page", "t_idx", "row_no", "col_no", "header", "row_text", "category", "property_name", F.col("cell").alias("raw_value"), "normalized_value", unit.alias("unit"), F.lit(CONFIDENCE["field"]).alias("confidence"), "found", F.try_element_at("found", F.lit(1))["formula"].alias("formula"), F.when(F.size("found") > 0, "table_row").alias("extraction_method"))
+
+
+#: Blocks of tables come after those of the text.
+TABLES_FROM = 1_000_000
+
+
+def _block(page: str = "page", t_idx: str = "t_idx") -> Column:
+    return (F.lit(TABLES_FROM) + F.col(page) * 1000 + F.col(t_idx)).cast("int")
 
 
 def linked(captioned_grids: DataFrame) -> DataFrame:
-    """The mentions of captioned grids in the columns of :func:`ferrule.operators.extract.link`: in Results, after all text,
-    their caption as sentence. An activation energy is typed by its header, else the row's other cells, else the caption."""
-    r = rows(captioned_grids)
-    key = ["paper_id", "page", "t_idx"]
-    at = r.select(*key, "row_no", "row", "headers", "material_column").join(captioned_grids.select(*key, "caption"), key)
-    m = table_mentions(r).join(at, [*key, "row_no"])
-    other = F.filter("headers", lambda h: property_of(h).isNull())
-    m = m.withColumns({"_h": F.element_at("headers", F.col("col_no") + 1), "_r": F.array_join(F.transform(other, lambda h: F.element_at(F.col("row"), h)), " ")})
-    typed = [F.nullif(ea_type(c, "0", "0"), F.lit("unspecified")) for c in ("_h", "_r", "caption")]
-    entry = F.concat_ws("|", "category", "property_name")
+    """The mentions of captioned grids in the columns of :func:`ferrule.operators.extract.mentions`: in Results, after all
+    text, their caption as sentence. An activation energy is typed by its header, else the row's other cells, else the caption."""
+    captions = captioned_grids.select("paper_id", "page", "t_idx", "caption")
+    m = table_mentions(rows(captioned_grids)).join(captions, ["paper_id", "page", "t_idx"])
+    typed = [F.nullif(ea_type_in(c), F.lit("unspecified")) for c in ("header", "row_text", "caption")]
     index = F.create_map(*(F.lit(v) for i, e in enumerate(ENTRIES) for v in (f"{e.category}|{e.name}", i)))
-    cell = F.element_at("row", F.col("material_column"))
+    energy = F.col("property_name").isin(*EA_PROPERTIES)
+    text, other = m.where(energy), m.where(~energy)
+    m = text.withColumn("ea_type", F.coalesce(*typed, F.lit("unspecified"))).unionByName(other.withColumn("ea_type", F.lit(NONE)))
     return m.select(
-        "paper_id", (F.lit(1_000_000) + F.col("page") * 1000 + F.col("t_idx")).cast("int").alias("block_no"), "page", F.lit("Table").alias("type"), F.lit("Results").alias("section"), F.col("row_no").alias("sent_no"),
-        F.col("caption").alias("sentence"), F.lit(CONFIDENCE["material"]).alias("score"), F.slice(materials_in(F.coalesce(cell, F.lit(""))), 1, 1).alias("materials"), F.element_at(index, entry).alias("prop_idx"), F.col("col_no").alias("match_no"),
-        "raw_value", "category", "property_name", "normalized_value", F.when(F.col("property_name").isin(*EA_PROPERTIES), F.coalesce(*typed, F.lit("unspecified"))).otherwise(NONE).alias("ea_type"),
-        "unit", "confidence", F.lit("Table").alias("source_type"), "formula", "extraction_method",
+        "paper_id", _block().alias("block_no"), "page", F.lit("Table").alias("type"), F.lit("Results").alias("section"), F.col("row_no").alias("sent_no"), F.col("caption").alias("sentence"), F.lit(CONFIDENCE["field"]).alias("score"),
+        F.col("col_no").alias("prop_idx"), F.element_at(index, F.concat_ws("|", "category", "property_name")).alias("match_no"), "raw_value", "category", "property_name", "normalized_value", "ea_type", "unit", "confidence",
+        F.lit("Table").alias("source_type"), "formula", "extraction_method",
     )
+
+
+def brought_up(captioned_grids: DataFrame) -> DataFrame:
+    """The first material of each row's material cell, in the columns of :func:`ferrule.operators.extract.brought_up`; it
+    counts whether or not the row has a property."""
+    r = rows(captioned_grids).where("material_column is not null")
+    found = F.try_element_at(materials_in(F.coalesce(F.element_at("row", F.col("material_column")), F.lit(""))), F.lit(1))
+    r = r.select("paper_id", "page", "t_idx", "row_no", found.alias("m")).where("m is not null")
+    return r.select("paper_id", F.struct(_block().alias("block_no"), F.col("row_no").alias("sent_no"), F.lit(0).alias("n")).alias("at"), *(F.col(f"m.{f}").alias(f) for f in ("formula", "raw", "elements", "alias")), F.lit(CONFIDENCE["material"]).alias("score"), F.col("page").cast("string").alias("page"), F.lit("Results").alias("section"), F.lit("Table").alias("type"))

@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.lexicon import CATEGORIES, ENTRIES
 from ferrule.operators import annotate, extract, layout, rank, tables
-from ferrule.session import cut
+from ferrule.session import written
 
 NONE = "NONE"
+META = ("title", "authors", "journal", "creation_date", "doi", "publication_year")
+# The properties that a report names for each paper.
+HEADLINES = ("Activation_Energy", "Ionic_Conductivity", "Capacity", "Voltage", "Band_Gap", "Formation_Energy", "Bulk_Modulus", "Density")
 
 
 @dataclass
 class Extracted:
     """The stages of one extraction."""
 
+    pages: DataFrame
     typed: DataFrame
     blocks: DataFrame
     sentences: DataFrame
     linked: DataFrame
+    materials: DataFrame
     grids: DataFrame | None = None
+    info: DataFrame | None = None
 
     @property
     def ranked(self) -> DataFrame:
@@ -30,24 +37,30 @@ class Extracted:
 
     @property
     def relations(self) -> DataFrame:
-        return rank.relations(rank.agree(self.linked))
+        return rank.relations(self.linked)
+
+    @property
+    def registry(self) -> DataFrame:
+        return extract.registry(self.materials)
 
 
-def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES, grids: DataFrame | None = None) -> Extracted:
+def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES, grids: DataFrame | None = None, info: DataFrame | None = None) -> Extracted:
     """Extract from (paper_id, page, text) and, where given, cell grids (paper_id, page, t_idx, cells), whose mentions stand
-    with those of the text. Sentences are read by every group of properties and mentions by several tables,
-    so both are materialised once, in the shared folder."""
+    with those of the text, and ``info`` (paper_id, title, authors, journal, creation_date). Blocks and the sentences that
+    hold mentions are read by several tables, so both are written once, in the shared folder."""
     typed = layout.typed_lines(layout.lines(pages))
-    blocks = cut(layout.blocks(typed))
+    blocks = written(layout.blocks(typed), "blocks")
+    sentences = extract.sentences(blocks)
     # few bytes but much work a sentence, so adaptive execution must not put them into few tasks
     spark = pages.sparkSession
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sentences = cut(extract.with_materials(extract.sentences(blocks).repartition(tasks, "paper_id")))
-    linked = extract.link(extract.mentions(sentences, categories, keep=("materials",)))
+    read = written(extract.with_mentions(sentences.repartition(tasks, "paper_id", "block_no"), categories), "read")
+    linked, materials = extract.mentions(read), extract.brought_up(read)
     if grids is not None:
-        grids = cut(tables.captioned(tables.headed(grids), blocks))
-        linked = linked.unionByName(tables.linked(grids).where(F.col("category").isin(*categories)), allowMissingColumns=True)
-    return Extracted(typed, blocks, sentences, cut(linked), grids)
+        grids = written(tables.captioned(tables.headed(grids), blocks), "grids")
+        linked = linked.unionByName(tables.linked(grids).where(F.col("category").isin(*categories)))
+        materials = materials.unionByName(tables.brought_up(grids))
+    return Extracted(pages, typed, blocks, sentences, linked, materials, grids, info)
 
 
 def strict(df: DataFrame) -> DataFrame:
@@ -55,84 +68,151 @@ def strict(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(F.nullif(F.regexp_replace(F.col(c).cast("string"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), F.lit("")), F.lit(NONE)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
 
 
+def _ids(x: Extracted) -> DataFrame:
+    return x.registry.select("paper_id", "material_id", F.col("normalized_formula").alias("formula"))
+
+
 def properties(x: Extracted) -> DataFrame:
     """The ranked mentions with the material they are linked to."""
-    ids = extract.registry(x.linked).select("paper_id", "material_id", F.col("normalized_formula").alias("formula"))
-    p = x.ranked.join(ids, ["paper_id", "formula"], "left")
+    p = x.ranked.join(_ids(x), ["paper_id", "formula"], "left")
     return strict(p.select("paper_id", "material_id", "category", "property_name", "raw_value", "normalized_value", "unit", "ea_type", F.round("confidence", 3).alias("confidence"), F.col("page").cast("string").alias("page"), "section", "sentence", "source_type"))
 
 
 def activation_energy(x: Extracted) -> DataFrame:
     """The ranked activation energies and migration barriers, with the material of the capped relation they are in."""
-    ids = extract.registry(x.linked).select("paper_id", "material_id", F.col("normalized_formula").alias("formula"))
     kept = x.relations.select("paper_id", *rank.KEY, "formula")
-    a = x.ranked.where(F.col("property_name").isin(*extract.EA_PROPERTIES)).drop("formula").join(kept, ["paper_id", *rank.KEY], "left").join(ids, ["paper_id", "formula"], "left")
-    return strict(a.select("paper_id", "material_id", F.col("formula").alias("material_formula"), F.col("property_name").alias("matched_as"), "ea_type", "raw_value", "normalized_value", "unit", F.round("confidence", 3).alias("confidence"), F.col("page").cast("string").alias("page"), "section", "sentence", "source_type"))
+    a = x.ranked.where(F.col("property_name").isin(*extract.EA_PROPERTIES)).drop("formula").join(kept, ["paper_id", *rank.KEY], "left").join(_ids(x), ["paper_id", "formula"], "left")
+    return strict(a.select("paper_id", "material_id", F.col("formula").alias("material_formula"), F.replace("property_name", F.lit("_"), F.lit(" ")).alias("matched_as"), "ea_type", "raw_value", "normalized_value", "unit", F.round("confidence", 3).alias("confidence"), F.col("page").cast("string").alias("page"), "section", "sentence", "source_type"))
 
 
 def relations(x: Extracted) -> DataFrame:
     """The capped links of values to materials."""
-    ids = extract.registry(x.linked).select("paper_id", "material_id", F.col("normalized_formula").alias("formula"))
-    r = x.relations.join(ids, ["paper_id", "formula"])
+    r = x.relations.join(_ids(x), ["paper_id", "formula"])
     return strict(r.select("paper_id", "material_id", F.col("formula").alias("material_formula"), "category", "property_name", F.col("normalized_value").alias("value"), "unit", "ea_type", F.round("relation_confidence", 3).alias("confidence"), "extraction_method", "sentence", F.col("page").cast("string").alias("page")))
 
 
-def papers(x: Extracted, pages: DataFrame) -> DataFrame:
-    """One row a paper: DOI, year and how much was found."""
-    base = pages.select("paper_id").distinct()
-    n = [(extract.registry(x.linked), "n_materials"), (x.relations, "n_relations"), (layout.references(x.typed), "n_references")]
-    out = base.join(layout.doi_and_year(pages), "paper_id", "left")
-    for df, name in n:
+def materials(x: Extracted) -> DataFrame:
+    """The materials of each paper, elements as JSON."""
+    return strict(x.registry.withColumn("elements", F.to_json("elements")).withColumn("confidence", F.round("confidence", 3)))
+
+
+def papers(x: Extracted) -> DataFrame:
+    """One row a paper: metadata, DOI, year and how much was found."""
+    out = x.pages.select("paper_id").distinct().join(metadata(x), "paper_id", "left")
+    counts = [(x.registry, "n_materials"), (x.relations, "n_relations"), (layout.references(x.typed), "n_references")]
+    for df, name in counts:
         out = out.join(df.groupBy("paper_id").agg(F.count("*").alias(name)), "paper_id", "left")
-    return out.select("paper_id", F.concat("paper_id", F.lit(".pdf")).alias("filename"), "doi", "publication_year", *(F.coalesce(c, F.lit(0)).alias(c) for _, c in n))
+    return strict(out.select("paper_id", F.col("paper_id").alias("filename"), "title", "authors", "journal", "doi", "publication_year", *(F.coalesce(c, F.lit(0)).alias(c) for _, c in counts)))
+
+
+def metadata(x: Extracted) -> DataFrame:
+    """(paper_id, title, authors, journal, creation_date, doi, publication_year), NONE for what isn't known."""
+    m = layout.doi_and_year(x.pages, x.info)
+    given = [c for c in META[:4] if x.info is not None and c in x.info.columns]
+    if given:
+        m = m.join(x.info.select("paper_id", *(F.nullif(F.trim(c), F.lit("")).alias(c) for c in given)), "paper_id", "left")
+    return m.select("paper_id", *(F.coalesce(c, F.lit(NONE)).alias(c) if c in m.columns else F.lit(NONE).alias(c) for c in META))
+
+
+def _field(c: Column) -> list[tuple[str, Column]]:
+    none = F.lit(NONE)
+    return [("Raw", F.coalesce(c["raw_value"], none)), ("Value", F.coalesce(c["normalized_value"], none)), ("Unit", F.coalesce(c["unit"], none)), ("Confidence", F.round(F.coalesce(c["confidence"], F.lit(0.0)), 3)), ("Page", F.coalesce(c["page"], none)), ("Section", F.coalesce(c["section"], none)), ("SourceType", F.coalesce(c["source_type"], none))]
+
+
+def _top(df: DataFrame, text: Column, name: str, *order: Column) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("paper_id").orderBy(*order))
+    top = df.withColumn("n", n).where("n <= 5").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))).alias("ts"))
+    return top.select("paper_id", F.array_join(F.transform("ts", lambda t: t["t"]), " | ").alias(name))
+
+
+def wide_summary(x: Extracted) -> DataFrame:
+    """One row a paper: its metadata, of every property of every category the best value with all that is known of it and
+    two runners-up (``_Cand2``, ``_Cand3``), and its first materials and relations. Columns begin with the first five letters
+    of the category; activation energies and migration barriers have their ``_Type`` too. What is missing is NONE."""
+    n = F.row_number().over(Window.partitionBy("paper_id", "category", "property_name").orderBy(F.desc("confidence"), *rank.KEY))
+    best = x.ranked.withColumn("n", n).where("n <= 3")
+    kept = ("raw_value", "normalized_value", "unit", "confidence", F.col("page").cast("string").alias("page"), "section", "source_type", "ea_type")
+    key = F.concat_ws("|", "category", "property_name", "n")
+    held = best.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct(*kept)))).alias("held"))  # three a property at most
+    first = _top(x.registry, F.col("normalized_formula"), "Top_Materials", F.desc("confidence"), F.length("material_id"), F.col("material_id"))
+    told = F.concat("formula", F.lit("["), "property_name", F.lit("="), "normalized_value", F.lit("]"))
+    links = _top(x.relations, told, "Top_Relations", F.desc("relation_confidence"), *map(F.col, rank.KEY))
+    out = x.pages.select("paper_id").distinct()
+    for df in (metadata(x), held, first, links):
+        out = out.join(df, "paper_id", "left")
+    columns = [F.col("paper_id").alias("Filename")]
+    for m in META:
+        known = F.col(m) != NONE
+        columns += [F.col(m).alias(f"Meta_{m}_{w}") for w in ("Raw", "Value")] + [F.lit(NONE).alias(f"Meta_{m}_Unit"), F.when(known, 1.0).otherwise(0.0).alias(f"Meta_{m}_Confidence"), F.when(known, "1").otherwise(NONE).alias(f"Meta_{m}_Page"), *(F.when(known, "Metadata").otherwise(NONE).alias(f"Meta_{m}_{w}") for w in ("Section", "SourceType"))]
+    for e in ENTRIES:
+        name, at = f"{e.category[:5].capitalize()}_{e.name}", [F.element_at("held", F.lit(f"{e.category}|{e.name}|{k}")) for k in (1, 2, 3)]
+        columns += [c.alias(f"{name}_{w}") for w, c in _field(at[0])]
+        columns += [F.coalesce(F.nullif(at[0]["ea_type"], F.lit(NONE)), F.lit(NONE)).alias(f"{name}_Type")] if e.name in extract.EA_PROPERTIES else []
+        columns += [F.coalesce(at[k - 1]["normalized_value"], F.lit(NONE)).alias(f"{name}_Cand{k}") for k in (2, 3)]
+    return out.select(*columns, *(F.coalesce(c, F.lit(NONE)).alias(c) for c in ("Top_Materials", "Top_Relations")))
+
+
+def _listed(df: DataFrame, name: str, *columns: str | Column) -> DataFrame:
+    """The rows of each paper as one list, in the order of its columns."""
+    return df.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
-def wide_summary(x: Extracted, names: tuple[str, ...] | None = None) -> DataFrame:
-    """One row a paper with the best value of each property named, its confidence and two runners-up; without names of
-    every property of every category, its columns prefixed by the category, as two categories share a name."""
-    wanted = [(None, n, n) for n in names] if names is not None else [(e.category, e.name, f"{e.category}_{e.name}") for e in ENTRIES]
-    by = ("paper_id", "property_name") if names is not None else ("paper_id", "category", "property_name")
-    best = x.ranked if names is None else x.ranked.where(F.col("property_name").isin(*names))
-    best = best.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("confidence"), *rank.KEY)))
-    cells = []
-    for category, p, column in wanted:
-        own = F.col("property_name") == p if category is None else (F.col("property_name") == p) & (F.col("category") == category)
-        for k, suffix in ((1, ""), (2, "_2"), (3, "_3")):
-            cells.append(F.coalesce(F.max(F.when(own & (F.col("rk") == k), F.col("normalized_value"))), F.lit(NONE)).alias(f"{column}{suffix}"))
-        cells.append(F.round(F.coalesce(F.max(F.when(own & (F.col("rk") == 1), F.col("confidence"))), F.lit(0.0)), 3).alias(f"{column}_Confidence"))
-    return best.groupBy("paper_id").agg(*cells)
+def _shown(rows: Column, fields: list[str]) -> Column:
+    """A list of structs without the fields that only put it in order; amounts as an object, references as texts."""
+    if fields == ["ref_no", "entry"]:
+        return F.transform(rows, lambda e: e["entry"])
+    kept = [f for f in fields if f not in ("no", "at", "sure", *rank.KEY)]
+    return F.transform(rows, lambda e: F.struct(*(F.map_from_entries(e[f]).alias(f) if f == "elements" else e[f].alias(f) for f in kept)))
 
 
 def nested(x: Extracted) -> DataFrame:
-    """One JSON record a paper: materials with their properties, relations, equations, figures, tables, references and workflow."""
-    props = properties(x)
-    own = props.groupBy("paper_id", "material_id").agg(F.array_sort(F.collect_list(F.struct("property_name", "normalized_value", "unit", "confidence"))).alias("properties"))
-    mats = extract.registry(x.linked).join(own, ["paper_id", "material_id"], "left").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("material_id", "normalized_formula", F.map_entries("elements").alias("elements"), "confidence", F.coalesce("properties", F.array().cast("array<struct<property_name:string,normalized_value:string,unit:string,confidence:double>>")).alias("properties")))).alias("materials"))
-    rel = relations(x).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("material_id", "property_name", "value"))).alias("relations"))
-    flow = annotate.workflow(x.blocks).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("step_order", "stage"))).alias("workflow"))
-    parts = [("relations", rel), ("workflow", flow), ("equations", _listed(annotate.equations(x.blocks, x.sentences), "equations", "page", "equation_type", "equation_text", "section", "variables", "context_sentence"))]
-    parts.append(("figures", _listed(annotate.figures(x.blocks), "figures", "page", "figure_number", "caption", "section", "referenced_materials", "referenced_properties", "referenced_tables", "referenced_equations", "mentioned_methods")))
+    """One JSON record a paper: filename, metadata, materials with their properties, properties of the paper by category,
+    relations, tables, figures, equations, workflow and references. A paper in which nothing was found has its record too."""
+    shown = ("raw_value", "normalized_value", "unit", F.round("confidence", 3).alias("confidence"), F.col("page").cast("string").alias("page"), "section", "sentence", "source_type", F.nullif("ea_type", F.lit(NONE)).alias("ea_type"))
+    own = x.linked.where("formula is not null").groupBy("paper_id", "formula").agg(F.array_sort(F.collect_list(F.struct(*rank.KEY, F.struct("property_name", *shown).alias("p")))).alias("ps"))
+    mats = x.registry.withColumnRenamed("normalized_formula", "formula").join(own, ["paper_id", "formula"], "left")
+    props = F.coalesce(F.transform("ps", lambda p: p["p"]), F.array())
+    mats = mats.select("paper_id", F.struct(-F.col("confidence"), F.substring("material_id", 5, 12).cast("int")).alias("no"), "material_id", "raw_formula", F.col("formula").alias("normalized_formula"), F.map_entries("elements").alias("elements"), "is_known_alias", F.round("confidence", 3).alias("confidence"), "page", "section", props.alias("properties"))
+    parts = [("materials", _listed(mats, "materials", "no", "material_id", "raw_formula", "normalized_formula", "elements", "is_known_alias", "confidence", "page", "section", "properties"))]
+    whole = x.ranked.groupBy("paper_id", "category", "property_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), *rank.KEY, F.struct(*shown).alias("p")))).alias("ps"))
+    whole = whole.withColumn("ps", F.transform("ps", lambda p: p["p"]))
+    parts.append(("paper_level_properties", _listed(whole, "paper_level_properties", "category", "property_name", "ps")))
+    links = x.relations.join(_ids(x), ["paper_id", "formula"]).withColumns({"sure": -F.col("relation_confidence"), "confidence": F.round("relation_confidence", 3), "page": F.col("page").cast("string")})
+    parts.append(("relations", _listed(links, "relations", "sure", *rank.KEY, "material_id", F.col("formula").alias("material_formula"), "category", "property_name", F.col("normalized_value").alias("value"), "unit", "ea_type", "confidence", "extraction_method", "sentence", "page")))
     if x.grids is not None:
         parts.append(("tables", _listed(x.grids, "tables", "page", "t_idx", "table_number", "caption", "headers", "material_column", "cells")))
+    figures = annotate.figures(x.blocks)
+    parts.append(("figures", _listed(figures, "figures", F.col("page").alias("at"), F.coalesce(F.col("figure_number").try_cast("int"), F.lit(0)).alias("no"), *figures.columns[1:])))
+    equations = annotate.equations(x.blocks, x.sentences)
+    parts.append(("equations", _listed(equations, "equations", F.col("page").alias("at"), *equations.columns[1:])))
+    flow = annotate.workflow(x.blocks)
+    parts.append(("workflow", _listed(flow, "workflow", *flow.columns[1:])))
     parts.append(("references", _listed(layout.references(x.typed), "references", "ref_no", "entry")))
-    out = mats
+    out = x.pages.select("paper_id").distinct().join(metadata(x), "paper_id", "left")
     for _, df in parts:
-        out = out.join(df, "paper_id", "full")
-    return out.select("paper_id", F.to_json(F.struct("materials", *(name for name, _ in parts))).alias("payload"))
-
-
-def _listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    return df.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(df, "paper_id", "left")
+    lists = [_shown(F.coalesce(name, F.array().cast(df.schema[name].dataType)), df.schema[name].dataType.elementType.names).alias(name) for name, df in parts]
+    return out.select("paper_id", F.to_json(F.struct(F.col("paper_id").alias("filename"), F.struct(*META).alias("metadata"), *lists)).alias("payload"))
 
 
-def run_report(x: Extracted, pages: DataFrame) -> DataFrame:
+def run_report(x: Extracted) -> DataFrame:
     """Totals of a run: papers, materials, relations, and papers with an activation energy."""
-    n = [(pages.select("paper_id").distinct(), "n_papers"), (extract.registry(x.linked), "n_materials"), (x.relations, "n_relations"), (x.ranked.where(F.col("property_name").isin(*extract.EA_PROPERTIES)).select("paper_id").distinct(), "n_with_activation_energy")]
-    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for df, name in n]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    n = [(x.pages.select("paper_id").distinct(), "n_papers"), (x.registry, "n_materials"), (x.relations, "n_relations"), (x.linked.where("property_name = 'Activation_Energy'").select("paper_id").distinct(), "n_with_activation_energy")]
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for df, name in n))
+
+
+def headline_report(x: Extracted) -> DataFrame:
+    """(paper_id, what, value, ea_type, confidence): of each paper the best value of the properties that a report names, its
+    first materials, and how many relations, tables, figures and equations it has."""
+    n = F.row_number().over(Window.partitionBy("paper_id", "property_name").orderBy(F.desc("confidence"), *rank.KEY))
+    best = x.ranked.where(F.col("property_name").isin(*HEADLINES)).withColumn("n", n).where("n = 1")
+    rows = [best.select("paper_id", F.col("property_name").alias("what"), F.col("normalized_value").alias("value"), "ea_type", F.round("confidence", 2).alias("confidence"))]
+    extra = (F.lit(NONE).alias("ea_type"), F.lit(None).cast("double").alias("confidence"))
+    first = _top(x.registry, F.col("normalized_formula"), "value", F.desc("confidence"), F.length("material_id"), F.col("material_id"))
+    rows.append(first.select("paper_id", F.lit("Materials").alias("what"), F.replace("value", F.lit(" | "), F.lit(", ")).alias("value"), *extra))
+    counted = [("Relations", x.relations), ("Figures", annotate.figures(x.blocks)), ("Equations", annotate.equations(x.blocks, x.sentences))] + ([("Tables", x.grids)] if x.grids is not None else [])
+    rows += [df.groupBy("paper_id").agg(F.count("*").cast("string").alias("value")).select("paper_id", F.lit(name).alias("what"), "value", *extra) for name, df in counted]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def new_only(pages: DataFrame, existing: DataFrame) -> DataFrame:
