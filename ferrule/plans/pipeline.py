@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,18 +31,24 @@ class Extracted:
     grids: DataFrame | None = None
     info: DataFrame | None = None
 
-    @property
+    @cached_property
     def ranked(self) -> DataFrame:
         return rank.ranked(self.linked)
 
-    @property
+    @cached_property
     def relations(self) -> DataFrame:
         return rank.relations(self.linked)
 
-    @property
+    @cached_property
     def registry(self) -> DataFrame:
         return extract.registry(self.materials)
 
+    def settled(self) -> Extracted:
+        """The same with registry, ranks and relations written once, for what reads them several times over."""
+        x = replace(self)
+        x.__dict__ |= {"ranked": written(self.ranked, "ranked"), "relations": written(self.relations, "relations"), "registry": written(self.registry, "registry")}
+        return x
+
 
 def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES, grids: DataFrame | None = None, info: DataFrame | None = None) -> Extracted:
     """Extract from (paper_id, page, text) and, where given, cell grids (paper_id, page, t_idx, cells), whose mentions stand
@@ -58,8 +64,9 @@ def run(pages: DataFrame, categories: tuple[str, ...] = CATEGORIES, grids: DataF
     linked, materials = extract.mentions(read), extract.brought_up(read)
     if grids is not None:
         grids = written(tables.captioned(tables.headed(grids), blocks), "grids")
-        linked = linked.unionByName(tables.linked(grids).where(F.col("category").isin(*categories)))
-        materials = materials.unionByName(tables.brought_up(grids))
+        # cells are read once, however many tables their mentions are in
+        linked = linked.unionByName(written(tables.linked(grids).where(F.col("category").isin(*categories)), "table-mentions"))
+        materials = materials.unionByName(written(tables.brought_up(grids), "table-materials"))
     return Extracted(pages, typed, blocks, sentences, linked, materials, grids, info)
 
 
@@ -129,6 +136,7 @@ def wide_summary(x: Extracted) -> DataFrame:
     """One row a paper: its metadata, of every property of every category the best value with all that is known of it and
     two runners-up (``_Cand2``, ``_Cand3``), and its first materials and relations. Columns begin with the first five letters
     of the category; activation energies and migration barriers have their ``_Type`` too. What is missing is NONE."""
+    x = x.settled()
     n = F.row_number().over(Window.partitionBy("paper_id", "category", "property_name").orderBy(F.desc("confidence"), *rank.KEY))
     best = x.ranked.withColumn("n", n).where("n <= 3")
     kept = ("raw_value", "normalized_value", "unit", "confidence", F.col("page").cast("string").alias("page"), "section", "source_type", "ea_type")
@@ -168,6 +176,7 @@ def _shown(rows: Column, fields: list[str]) -> Column:
 def nested(x: Extracted) -> DataFrame:
     """One JSON record a paper: filename, metadata, materials with their properties, properties of the paper by category,
     relations, tables, figures, equations, workflow and references. A paper in which nothing was found has its record too."""
+    x = x.settled()
     shown = ("raw_value", "normalized_value", "unit", F.round("confidence", 3).alias("confidence"), F.col("page").cast("string").alias("page"), "section", "sentence", "source_type", F.nullif("ea_type", F.lit(NONE)).alias("ea_type"))
     own = x.linked.where("formula is not null").groupBy("paper_id", "formula").agg(F.array_sort(F.collect_list(F.struct(*rank.KEY, F.struct("property_name", *shown).alias("p")))).alias("ps"))
     mats = x.registry.withColumnRenamed("normalized_formula", "formula").join(own, ["paper_id", "formula"], "left")
