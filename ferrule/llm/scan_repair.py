@@ -2,16 +2,18 @@
 
 A first pass over all texts counts words and word pairs of the bodies (furniture off, broken words joined). Words that
 make up at least one in ``RARE`` of all words, and aren't themselves a common misreading of a far more frequent word, are
-the vocabulary; by that share there are never more than ``RARE`` of them, so the vocabulary has a proven bound and is
-given to every worker, as a trie. A second pass repairs: for each word that isn't in the vocabulary, the Levenshtein
-automaton of the word (bit-parallel, at most two edits) is run along the trie, which yields every candidate; candidates
-are ranked by how well known confusions of characters explain them, then by the words next to them. A word that nothing
-explains is left alone.
+the vocabulary; by that share there are never more than ``RARE`` of them, so the vocabulary has a proven bound. It is
+broadcast once, and each worker process makes one trie of it. A second pass repairs: for each word that isn't in the
+vocabulary, the Levenshtein automaton of the word (bit-parallel, at most two edits) is run along the trie, which yields
+every candidate; candidates are ranked by how well known confusions of characters explain them, then by the words next to
+them. What no confusion explains is repaired only if one letter is replaced and a letter doesn't belong in a word or the
+words next to it are known to stand by the candidate: rare words, such as a plural seen seldom, stay as they are.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -25,7 +27,7 @@ from ferrule.functions.pages import furniture
 from ferrule.session import written
 
 #: A word belongs to the vocabulary if it makes up at least one in so many of all words.
-RARE = 100_000
+RARE = 1_000_000
 #: Fewest occurrences of a vocabulary word, whatever the size of the corpus.
 LEAST = 3
 #: A frequent word counts as misread if a word it can be a misreading of is so many times as frequent.
@@ -43,33 +45,44 @@ _FORMULA = re.compile(r"(?:\d*\(?(?:[A-Z][a-z]?|[αβγδ]-)[\d.]*(?:[+-]?[δx]\
 _NEVER = re.compile(r"[=/^−⁻×*<>~≈±(){}\[\]·]|^[-+\d.,]+$")
 
 
-def lines_of(text: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """(lines of the body, [(kind, line)] of page furniture). A text of one line is all body."""
+def lines_of(text: str) -> tuple[list[str], list[tuple[str, str]], set[int]]:
+    """(lines of the body, [(kind, line)] of page furniture, which lines begin a paragraph). A text of one line is all body.
+
+    Blank lines part paragraphs where the line before them ends a sentence; those around page furniture belong to the page.
+    """
     if "\n" not in text and "\r" not in text:
-        return [text], []
-    body, off = [], []
+        return [text], [], set()
+    body, off, begins = [], [], set()
+    blank = page = False
     for raw in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         line = raw.strip()
         if not line:
+            blank = True
             continue
         kind = furniture(line)
         if kind:
             off.append((kind, " ".join(line.split())))
-        else:
-            body.append(line)
-    return body, off
+            page = True
+            continue
+        if blank and not page and body and body[-1].rstrip("\"”')]")[-1:] in tuple(".!?:"):
+            begins.add(len(body))
+        body.append(line)
+        blank = page = False
+    return body, off, begins
 
 
-def tokens_of(text: str) -> tuple[list[tuple[str, str | None]], list[tuple[str, str]]]:
+def tokens_of(text: str, begins: set[int] | None = None) -> tuple[list[tuple[str, str | None]], list[tuple[str, str]]]:
     """([(token, first part)], furniture): the tokens of the body in order; a word broken over lines is one token, written
-    with a hyphen at the break, and comes with the part before it."""
-    body, off = lines_of(text)
+    with a hyphen at the break, and comes with the part before it. ``begins`` gets the tokens that begin a paragraph."""
+    body, off, starts = lines_of(text)
     if len(body) == 1:
         return [(w, None) for w in body[0].split()], off
     out: list[tuple[str, str | None]] = []
     pending = ""
-    for line in body:
+    for n, line in enumerate(body):
         words = line.split()
+        if begins is not None and n in starts and not pending:
+            begins.add(len(out))
         if pending and words:
             words[0], part = f"{pending}\u0000{words[0]}", pending
             out.append((words[0], part))
@@ -169,22 +182,23 @@ class Repairer:
         self.words, self.pairs, self.trie = words, pairs, Trie(words)
         self.seen: dict[str, list[str]] = {}
 
-    def candidates(self, word: str) -> list[str]:
-        """The best explained vocabulary words for a word that isn't one, most frequent first; none if nothing explains it."""
+    def candidates(self, word: str) -> list[tuple[str, bool]]:
+        """The best vocabulary words for a word that isn't one, most frequent first, and whether a known confusion or a
+        letter that doesn't belong in a word explains them; none if there is nothing of the kind."""
         if word in self.seen:
             return self.seen[word]
         odd = any(not (c.isascii() and c.isalpha()) and c != "-" for c in word)
-        ranked: list[tuple[float, int, str]] = []
+        ranked: list[tuple[float, int, str, bool]] = []
         for k, w in self.trie.near(word, 2 if len(word) > 3 else 1 if len(word) > 2 or odd else 0) if len(word) > 1 else []:
             n = explained(word, w)
             if n:
-                ranked.append((0.4 * n, -self.words[w], w))
-            elif k == 1 and len(word) >= 6 and (odd or word[0] == w[0]) and "-" not in w[len(word) - 1 :]:
-                ranked.append((1.0, -self.words[w], w))
+                ranked.append((0.4 * n, -self.words[w], w, True))
+            elif k == 1 and len(word) >= 6 and len(w) == len(word) and (odd or word[0] == w[0]):
+                ranked.append((1.0, -self.words[w], w, odd))
         if len(self.seen) >= self.KEEP:
             self.seen = {}
         ranked.sort()
-        self.seen[word] = out = [w for c, _, w in ranked if c == ranked[0][0]]
+        self.seen[word] = out = [(w, sure) for c, _, w, sure in ranked if c == ranked[0][0]]
         return out
 
     def fix(self, word: str, before: str | None, after: str | None, opens: bool = False) -> str | None:
@@ -193,9 +207,10 @@ class Repairer:
             return None
         if any(c.isdigit() for c in word) and (_FORMULA.fullmatch(word) or sum(c.isalpha() for c in word) < 2):
             return None
-        found = self.candidates(word)
+        by = lambda w: ((before, w) in self.pairs) + ((w, after) in self.pairs)
+        found = [w for w, sure in self.candidates(word) if sure or by(w)]
         if len(found) > 1:
-            found = sorted(found, key=lambda w: (w[0].isupper() != opens, -((before, w) in self.pairs) - ((w, after) in self.pairs), -self.words[w], w))
+            found = sorted(found, key=lambda w: (w[0].isupper() != opens, -by(w), -self.words[w], w))
         return found[0] if found else None
 
     def joined(self, token: str) -> str:
@@ -242,18 +257,30 @@ class Repairer:
         return out
 
     def text(self, text: str) -> str:
-        """The continuous text that the page carried."""
-        tokens, _ = tokens_of(text)
+        """The continuous text that the page carried: a blank between words, an empty line between paragraphs."""
+        begins: set[int] = set()
+        tokens, _ = tokens_of(text, begins)
         clean = [t.strip(_OUTER) for t, _ in tokens]
-        out = []
+        out: list[str] = []
         for i, (t, _) in enumerate(tokens):
             w = clean[i]
             if "\u0000" in t:
                 right = self.joined(w) if w and "\u0000" in w else w
             else:
                 right = (self.fix(w, clean[i - 1] if i else None, clean[i + 1] if i + 1 < len(clean) else None, not i or tokens[i - 1][0][-1:] in ".:?!") if w else None) or w
-            out.append(t.replace(w, right, 1) if w else t)
-        return " ".join(out)
+            out.append(("\n\n" if i in begins and i else " " if i else "") + (t.replace(w, right, 1) if w else t))
+        return "".join(out)
+
+
+_MADE: dict[str, Repairer] = {}
+
+
+def repairer(name: str, words: dict[str, int], pairs: set[tuple[str, str]]) -> Repairer:
+    """One repairer, with its trie, for each worker process; ``name`` tells vocabularies apart."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Repairer(words, pairs)
+    return _MADE[name]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -324,10 +351,10 @@ def find_repairs(texts: DataFrame, rare: int = RARE, least: int = LEAST) -> Data
 
     kind is 'hyphen', 'char', 'header' or 'pageno'. Texts of any length are treated whole. Repeated rows count once.
     """
-    words, pairs = vocabulary(count_words(texts), rare, least)
+    known, name = texts.sparkSession.sparkContext.broadcast(vocabulary(count_words(texts), rare, least)), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Repairer(words, pairs)
+        r = repairer(name, *known.value)
         for b in batches:
             rows = [(s, i, k, f) for s, i, t in zip(b["src"], b["rec_id"], b["text"]) for k, f in set(r.repairs(t))]
             yield pd.DataFrame(rows, columns=_FOUND.names)
@@ -337,10 +364,10 @@ def find_repairs(texts: DataFrame, rare: int = RARE, least: int = LEAST) -> Data
 
 def repaired(texts: DataFrame, rare: int = RARE, least: int = LEAST) -> DataFrame:
     """(src, rec_id, text): each text as the page carried it, without furniture, broken words joined, misread words put right."""
-    words, pairs = vocabulary(count_words(texts), rare, least)
+    known, name = texts.sparkSession.sparkContext.broadcast(vocabulary(count_words(texts), rare, least)), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Repairer(words, pairs)
+        r = repairer(name, *known.value)
         for b in batches:
             yield b.assign(text=[r.text(t) for t in b["text"]])
 

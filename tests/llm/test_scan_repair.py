@@ -83,3 +83,29 @@ def test_text(texts):
 
 def test_empty(spark):
     assert sr.find_repairs(spark.createDataFrame([], "src string, rec_id long, text string")).count() == 0
+
+
+def test_rare_words_stay():
+    """A word that no confusion explains is left alone unless its neighbours speak for the candidate."""
+    words = {w: 50 for w in ("electrode", "relation", "conductor", "reaction", "composition", "the", "surface")}
+    r = sr.Repairer(words, {("the", "surface")})
+    for w in ("electrodes", "relations", "conductors", "reactions", "compositions", "surfoce"):
+        assert r.fix(w, None, None) is None
+    assert r.fix("surfoce", "the", None) == "surface" and r.fix("surf&ce", None, None) == "surface" and r.fix("reacti0n", None, None) == "reaction"
+
+
+def test_paragraphs_are_kept():
+    r = sr.Repairer({w: 9 for w in ("One", "first", "second", "continuous", "starts", "here")}, set())
+    text = "One first\nsecond.\n\nOne starts contin-\nuous\n\n- 12 -\n\nfirst here.\n\n\nOne starts"
+    assert r.text(text) == "One first second.\n\nOne starts continuous first here.\n\nOne starts"
+    assert r.text("One  first") == "One first" and r.text("") == ""
+
+
+def test_texts_of_scans(spark):
+    """Planted damage in every text comes out again as the text that it was made of."""
+    base = [f"the measured conductivity of sample {i} remains stable during prolonged storage" for i in range(40)]
+    rows = [("mentions", i, t) for i, t in enumerate(base)]
+    rows += [("mentions", 100 + i, t.replace("conductivity", "conduc-\ntivity").replace("stable", "stab1e").replace(" during", "\nPage 7\nduring")) for i, t in enumerate(base)]
+    df = spark.createDataFrame(rows, "src string, rec_id long, text string")
+    got = {r.rec_id: r.text for r in sr.repaired(df).collect()}
+    assert [got[100 + i] for i in range(40)] == base and [got[i] for i in range(40)] == base
