@@ -93,3 +93,19 @@ def test_model_held_out(sf):
     right = which == y[cut:]
     confident = sure >= q.SURE
     assert right.mean() > 0.7 and confident.mean() > 0.2 and right[confident].mean() > 0.9
+
+
+def test_masked_units(spark, sf):
+    """The ensemble alone, with the stated unit and the sentence masked, on rows that it wasn't fitted on."""
+    from ferrule.operators import quantities
+    from ferrule.session import table
+
+    s = quantities.masked_score(table(spark, sf.replace("sf0.001", "sf0.01"), "mentions"), table(spark, sf, "property_kinds"))
+    assert s["rows"] > 1000 and s["right"] > 0.85 and s["sure"] > 0.6 and s["sure_right"] > 0.95 and abs(s["confidence"] - s["sure_right"]) < 0.04
+
+
+def test_units_of_many_words():
+    from ferrule.operators import quantities
+
+    long = "kg" + " kg" * 30 + " and more"
+    assert quantities._leading_unit(long, (0, 31, 0, 0, 0))[2] == (0, 31, 0, 0, 0)
