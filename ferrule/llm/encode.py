@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,9 +37,8 @@ LONG = 64
 class BytePair:
     """Vocabulary of ranks: the id of a token is its rank, and lower ranks merge first."""
 
-    def __init__(self, path: str = DEFAULT_RANKS, pattern: str = PATTERN):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, ranks: bytes, pattern: str = PATTERN):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.words = regex.compile(pattern).findall
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.size = max(self.bytes) + 1
@@ -176,11 +175,17 @@ class BytePair:
 _LOADED: dict[tuple[str, str], BytePair] = {}
 
 
-def tokenizer(path: str = DEFAULT_RANKS, pattern: str = PATTERN) -> BytePair:
+def read_ranks(path: str = DEFAULT_RANKS) -> bytes:
+    """The vocabulary file; about a megabyte."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def tokenizer(name: str, ranks: Callable[[], bytes], pattern: str = PATTERN) -> BytePair:
     """One tokenizer per worker process."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = BytePair(path, pattern)
-    return _LOADED[path, pattern]
+    if (name, pattern) not in _LOADED:
+        _LOADED[name, pattern] = BytePair(ranks(), pattern)
+    return _LOADED[name, pattern]
 
 
 def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -190,9 +195,10 @@ def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
     encoded whole. Repeated rows are encoded each.
     """
     kind = documents.schema[doc_id].dataType
+    sent = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks))  # executors need no copy of the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(ranks, pattern)
+        bpe = tokenizer(ranks, lambda: sent.value, pattern)
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
@@ -206,8 +212,10 @@ def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
 
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS, pattern: str = PATTERN) -> DataFrame:
     """(``doc_id``, n_tokens) of each document, by the same encoding; null and empty texts have 0."""
+    sent = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(ranks, pattern)
+        bpe = tokenizer(ranks, lambda: sent.value, pattern)
         for b in batches:
             for start in range(0, len(b), 512):
                 part = b.iloc[start : start + 512]

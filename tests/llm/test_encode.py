@@ -15,7 +15,7 @@ TEXTS = ["", " ", "a", "Hello  world", "<|endoftext|>", " \n\n x", "a" * 2000, "
 def public():
     import tiktoken
 
-    bpe = encode.BytePair()
+    bpe = encode.BytePair(encode.read_ranks())
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
 
@@ -23,7 +23,7 @@ def public():
 def test_same_as_public(public):
     rng = random.Random(5)
     texts = TEXTS + ["".join(rng.choice(" \n\t  \x1c\x85ab1é½.'s🙂中") for _ in range(rng.randrange(60))) for _ in range(2000)]
-    bpe = encode.BytePair()
+    bpe = encode.BytePair(encode.read_ranks())
     ids, lengths = bpe.encode_batch(texts)
     at = 0
     for t, n in zip(texts, lengths):
@@ -32,7 +32,7 @@ def test_same_as_public(public):
 
 
 def test_long_merge_equals_short():
-    bpe = encode.BytePair()
+    bpe = encode.BytePair(encode.read_ranks())
     rng = random.Random(2)
     for _ in range(50):
         data = "".join(rng.choice("abcdeinst ") for _ in range(rng.randrange(2, 250))).encode()
