@@ -67,12 +67,10 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
         used[size] += n
         left[size] -= n
 
-    large = sorted(s for s in left if 3 * s > capacity)
-    for size in reversed(large):
+    large = sorted(s for s in left if 3 * s > capacity)  # the sizes that still have items
+    for size in large[::-1]:
         while left[size]:
             i = bisect_left(large, capacity - size + 1) - 1  # the largest partner that fits
-            while i >= 0 and not left[large[i]]:
-                i -= 1
             if i < 0:
                 n = left[size]
                 place(size, n, 1, opened)
@@ -91,7 +89,12 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
                 place(size, n, 1, opened)
                 place(large[i], n, 1, opened)
                 rooms.put(capacity - size - large[i], opened, n)
+                if not left[large[i]]:
+                    del large[i]
             opened += n
+        i = bisect_left(large, size)
+        if i < len(large) and large[i] == size:  # it may have gone as a partner
+            del large[i]
     for size in sorted((s for s in left if 3 * s <= capacity), reverse=True):
         while left[size]:
             found = rooms.take(size)
@@ -135,11 +138,14 @@ def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "
     steps, opened = plan(histogram, capacity)
     steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
     before = Window.partitionBy("_rest").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    # containers of full pieces follow those of the plan, counted on through the shards of all sizes
-    upto = Window.orderBy("_f0").rowsBetween(Window.unboundedPreceding, -1)
+    # containers of full pieces follow those of the plan, counted on through the shards: first by thousands of them (one row
+    # for fifty million items in the one task that sums these up), then within
+    upto = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_k").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    by_shard = counts.groupBy("_shard").agg(F.sum("_f").alias("_sf")).withColumn("_f0", F.col("_shard"))
-    by_shard = by_shard.withColumn("_fstart", F.coalesce(F.sum("_sf").over(upto), F.lit(0))).select("_shard", "_fstart")  # one row a shard
+    by_shard = counts.groupBy("_shard").agg(F.sum("_f").alias("_sf")).withColumn("_k", F.floor(F.col("_shard") / 1000))
+    thousands = by_shard.groupBy("_k").agg(F.sum("_sf").alias("_tf")).withColumn("_tstart", F.coalesce(F.sum("_tf").over(upto), F.lit(0)))
+    by_shard = by_shard.join(thousands, "_k").select("_shard", (F.col("_tstart") + F.coalesce(F.sum("_sf").over(within), F.lit(0))).alias("_fstart"))
     ranked = rows.join(starts.select("_rest", "_shard", "_start"), ["_rest", "_shard"])
     ranked = ranked.withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy("_rest", "_shard").orderBy("_id")) - 1).select("_id", "_n", "_rest", "_rank")
     containers = max(1, opened)
@@ -163,3 +169,12 @@ def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "
     full = long_.select("_id", "_at", F.explode(F.sequence(F.lit(1), F.col("_full").cast("int"))).alias("piece_no"))
     full = full.select("_id", "piece_no", F.lit(capacity).alias("size"), (F.col("_at") + F.col("piece_no") + opened).alias("container_no"))
     return rests.unionByName(full).withColumnRenamed("_id", item_id)
+
+
+def fill(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: n_items (different ids), n_containers, fill (share of the containers' room that is taken), n_over (containers
+    that hold more than the capacity) and n_cut (items of no more than the capacity that are cut)."""
+    item = packed.columns[0]
+    boxes = packed.groupBy("container_no").agg(F.sum("size").alias("held")).agg(F.count("*").alias("n_containers"), F.round(F.sum("held") / (F.count("*") * capacity), 4).alias("fill"), F.sum((F.col("held") > capacity).cast("long")).alias("n_over"))
+    items = packed.groupBy(item).agg(F.sum("size").alias("held"), F.count_distinct("piece_no").alias("pieces")).agg(F.count("*").alias("n_items"), F.sum(((F.col("held") <= capacity) & (F.col("pieces") > 1)).cast("long")).alias("n_cut"))
+    return items.withColumn("one", F.lit(1)).join(boxes.withColumn("one", F.lit(1)), "one").drop("one")

@@ -45,12 +45,26 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
 
-def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document, or each piece of it, goes for each capacity."""
+def _packed(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame]]:
     counts = written(encode.token_counts(table(spark, sf_dir, "documents")), "token-counts")
     sizes = table(spark, sf_dir, "capacities").select("container_kind", "capacity_tokens").distinct().collect()  # a table of fixed size
-    parts = [packing.pack(counts, int(c)).withColumn("container_kind", F.lit(k)) for k, c in sorted(sizes)]
-    return reduce(DataFrame.unionByName, parts)
+    return [(k, int(c), packing.pack(counts, int(c))) for k, c in sorted(sizes)]
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document, or each piece of it, goes for each capacity."""
+    return reduce(DataFrame.unionByName, (df.withColumn("container_kind", F.lit(k)) for k, _, df in _packed(spark, sf_dir)))
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind of container: how many documents are placed, how many containers hold too much, and how many documents
+    are cut that a container could have held."""
+    return reduce(DataFrame.unionByName, (packing.fill(df, c).select(F.lit(k).alias("container_kind"), "n_items", "n_over", "n_cut") for k, c, df in _packed(spark, sf_dir)))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return reduce(DataFrame.unionByName, (packing.fill(df, c).select(F.lit(k).alias("container_kind"), "n_containers", "fill") for k, c, df in _packed(spark, sf_dir)))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +73,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each subject in each document's sentences."""
+    """The subject mixture of each document, and the share of each subject in its sentences."""
     return subjects.mixtures(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_texts": p3_texts, "p5_found": p5_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_mixtures": p10_mixtures}
+QUERIES = {"p3_found": p3_found, "p3_texts": p3_texts, "p5_found": p5_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_invariants": p9_invariants, "p9_fill": p9_fill, "p10_found": p10_found, "p10_mixtures": p10_mixtures}
 MISSING = "('', 'none', 'null', 'nil', 'nan', 'n/a', 'n.a.', 'na', 'n.d.', 'nd', '-', '--', '---', '–', '—', '?', 'unknown', 'missing', 'not available', 'not given', 'untitled', 'tbd')"
 
 
@@ -72,6 +86,7 @@ def _field(f: str, more: str = "") -> str:
 
 
 ORACLES = {
+    "p9_invariants": "select container_kind, (select count(distinct doc_id) from documents) as n_items, 0 as n_over, 0 as n_cut from capacities",
     "p7_found": f"""
 with m as (select *, coalesce(cast(round(round(case when confidence is null or isnan(confidence) or confidence < 0 or confidence > 100 then null when confidence > 1 then confidence / 100 else confidence end * 1000, 6)) as bigint), -1) as c,
   coalesce(epoch_us(extracted_at), -9223372036854775808) as t from mentions where dup_group is not null)

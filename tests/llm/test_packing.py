@@ -58,3 +58,10 @@ def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), 10).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), 0)
+
+
+def test_fill_and_invariants(spark):
+    rows = [(i, n) for i, n in enumerate([0, None, 1, 5, 10, 11, 25, 4, 6, 6, 4, 3, 3, 3] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    f = packing.fill(packing.pack(df, 10, shard_rows=7), 10).first()
+    assert f.n_items == len(rows) and f.n_over == 0 and f.n_cut == 0 and f.fill > 0.95
