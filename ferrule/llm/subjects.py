@@ -5,7 +5,9 @@ Rows of the matrix are the sentences of labelled documents, columns their words
 document, so that alternating multiplicative updates (for the Kullback-Leibler divergence) sharpen the components without
 their changing places; further components take up what belongs to no subject. As components are anchored they give
 subject mixtures directly. The factorization is fitted on a bounded sample of labelled documents; every document is then
-folded in whole: the term side stays fixed, and a document's mixture and its sentences' components are estimated in turn.
+folded in whole: the term side ``h`` stays fixed and gives each sentence its likelihood under each component, and the
+document's row of ``w`` is updated against it by the same multiplicative rule. Mixtures are read off ``w``; a sentence
+belongs to the component that has the largest part in it, and a document has the subjects that enough sentences belong to.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from difflib import get_close_matches
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: At most so many labelled documents, chosen by a hash of their id, are used to fit the components.
 FIT_DOCUMENTS = 4_000
-#: At most so many terms, the most frequent ones; sentences kept per worker.
-TERMS, KEEP = 60_000, 300_000
+#: And at most so many characters of their texts, in the order of the hash.
+FIT_CHARS = 100_000_000
+#: Sentences kept per worker.
+KEEP = 300_000
 #: Components that belong to no subject.
 FREE = 2
 #: A document has a subject that takes up at least this share of its sentences.
@@ -119,7 +123,7 @@ class Components:
                 count[t] += c
         seeds = [Counter(terms(masked(s))) for s in summaries]
         common = Counter(t for c in seeds for t in c)
-        kept = [t for t, c in count.most_common(TERMS) if c > 1.2 or t in common]
+        kept = [t for t, c in count.most_common() if c > 1.2 or t in common]
         self.index = {t: i for i, t in enumerate(dict.fromkeys([*kept, *common]))}
         m = len(self.index)
         i = np.array([r for r, ts in enumerate(rows) for t in ts if t in self.index], dtype=np.int64)
@@ -150,26 +154,26 @@ class Components:
                 else:
                     h = h * np.stack([np.bincount(j, weights=v * w[i, k] * ratio, minlength=m) for k in range(self.k)]).astype(np.float32) + 1e-9
                     h /= h.sum(1, keepdims=True)
-        # how much of a term belongs to each component; terms seen in few sentences are drawn to the common shares
+        # a last update of h, without norming: how much of each term is each component's
         seen = np.stack([np.bincount(j, weights=v * w[i, k], minlength=m) for k in range(self.k)])
         for k, c in enumerate(seeds):
             for t in c:
                 if common[t] == 1:
                     seen[k, self.index[t]] += 3.0
-        # a term speaks for a subject by how much likelier the subject is with it than without, and it has a say by how
-        # far its subjects are from the usual ones; terms seen seldom, or mostly outside subjects, are drawn to the usual
+        # smoothed: terms seen seldom, or mostly in no subject, are drawn to the subjects' usual shares
         mine, free = seen[: len(self.subjects)], seen[len(self.subjects) :].sum(0)
         usual = mine.sum(1) / max(1e-9, mine.sum()) + 1e-3
         usual = (usual / usual.sum())[:, None]
-        pull = SMOOTH + LOOSE * free
-        share = (mine + pull * usual) / (mine.sum(0) + pull)
-        lift = np.log(share / usual)
-        say = (share * lift).sum(0)
-        self.logs = np.concatenate([say * lift, np.zeros((FREE, m))]).T.astype(np.float32)
+        self.h = mine + (SMOOTH + LOOSE * free) * usual
+        # the likelihood of a term under a component against its mean over components; terms that tell components apart
+        # (by the divergence of their shares from the usual ones) have the larger say
+        ratio = np.log(self.h / usual / self.h.sum(0))
+        say = (self.h / self.h.sum(0) * ratio).sum(0)
+        self.logs = np.concatenate([say * ratio, np.zeros((FREE, m))]).T.astype(np.float32)
         return self
 
     def evidence(self, sentence: str) -> np.ndarray:
-        """Evidence for each component in a sentence; the free ones have what little says nothing."""
+        """The logarithm of a sentence's likelihood under each component of h; the free ones have what little says nothing."""
         sentence = masked(sentence)
         found = self.cache.get(sentence)
         if found is None:
@@ -181,32 +185,33 @@ class Components:
             self.cache[sentence] = found
         return found
 
-    def fold_in(self, texts: list[str | None], rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """(share of each component in each text's sentences, number of sentences)."""
+    def fold_in(self, texts: list[str | None], rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(w, share of each component's sentences, number of sentences) of each text."""
         cut = [sentences(t) if t else [] for t in texts]
         n = np.array([len(c) for c in cut])
-        shares = np.zeros((len(texts), self.k))
+        w, shares = np.zeros((len(texts), self.k)), np.zeros((len(texts), self.k))
         if not n.sum():
-            return shares, n
+            return w, shares, n
         e = np.stack([self.evidence(s) for c in cut for s in c])
-        e = e - e.max(1, keepdims=True)
+        like = np.exp(e - e.max(1, keepdims=True))
         owner = np.repeat(np.arange(len(texts)), n)
         starts = np.concatenate(([0], np.cumsum(n[n > 0])))[:-1]
-        like = np.exp(e)
-        mix = np.full((len(texts), self.k), 1.0 / self.k)
         some = n > 0
+        w[some] = 1.0 / self.k
         for _ in range(rounds):
-            r = like * (mix[owner] + 0.004)
-            r /= r.sum(1, keepdims=True)
-            mix[some] = np.add.reduceat(r, starts, axis=0) / n[some][:, None]
-        best = np.zeros_like(r)
-        best[np.arange(len(r)), r.argmax(1)] = 1.0
+            # w times (likelihood over what w and likelihood make of the sentence), the update that norms itself
+            part = like * (w[owner] + 0.004)
+            part /= part.sum(1, keepdims=True)
+            w[some] = np.add.reduceat(part, starts, axis=0) / n[some][:, None]
+        best = np.zeros_like(part)
+        best[np.arange(len(part)), part.argmax(1)] = 1.0
         shares[some] = np.add.reduceat(best, starts, axis=0) / n[some][:, None]
-        return shares, n
+        return w, shares, n
 
 
-def fit_components(documents: DataFrame, labels: DataFrame, subjects: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Components:
-    """Components fitted on at most ``fit_documents`` labelled documents, those of smallest hash of their id.
+def fit_components(documents: DataFrame, labels: DataFrame, subjects: DataFrame, fit_documents: int = FIT_DOCUMENTS, fit_chars: int = FIT_CHARS) -> Components:
+    """Components fitted on at most ``fit_documents`` labelled documents of ``fit_chars`` characters in all, those of smallest
+    hash of their id; a text is taken whole or not at all.
 
     Labels are matched to subjects without regard to case, separators and small slips of spelling; others are left out.
     """
@@ -224,16 +229,20 @@ def fit_components(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
             known[label] = keys.index(near[0]) if near else None
         return known[label]
 
-    rows = some.select("text", "labels").collect()  # at most `fit_documents`
+    # the lengths of at most `fit_documents` texts are summed up in one task
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = some.select("doc_id", F.length("text").alias("n")).withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= fit_chars)
+    rows = some.join(F.broadcast(fits.select("doc_id")), "doc_id").select("text", "labels").collect()
     fit = [(r["text"], sorted({k for x in r["labels"] if (k := place(x)) is not None})) for r in rows]
     return Components([n for n, _ in names]).fit([x for x in fit if x[1]], [x for _, x in names])
 
 
-_MIX = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("n_sentences", T.IntegerType())])
+_MIX = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("subject", T.StringType()), T.StructField("mixture", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("n_sentences", T.IntegerType())])
 
 
 def mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
-    """(doc_id, subject, share, n_sentences): the share of each subject met in a document's sentences.
+    """(doc_id, subject, mixture, share, n_sentences): how much of a document is a subject's by its row of w, and the share of
+    its sentences that belong to the subject; one row for each subject that has a sentence.
 
     Texts of any length are taken whole; null and empty texts and texts without sentences give no rows, nor do rows
     without an id. A repeated row counts once.
@@ -244,12 +253,12 @@ def mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFrame, fit_d
         for b in batches:
             for start in range(0, len(b), 256):
                 part = b.iloc[start : start + 256]
-                shares, n = model.fold_in(part["text"].tolist())
+                w, shares, n = model.fold_in(part["text"].tolist())
                 r, k = np.nonzero(shares[:, : len(model.subjects)])
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[r], "subject": np.array(model.subjects, dtype=object)[k], "share": shares[r, k], "n_sentences": n[r].astype("int32")})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[r], "subject": np.array(model.subjects, dtype=object)[k], "mixture": w[r, k], "share": shares[r, k], "n_sentences": n[r].astype("int32")})
 
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(apply, _MIX).groupBy("doc_id", "subject").agg(F.max("share").alias("share"), F.max("n_sentences").alias("n_sentences"))
+    return rows.mapInPandas(apply, _MIX).groupBy("doc_id", "subject").agg(F.max("mixture").alias("mixture"), F.max("share").alias("share"), F.max("n_sentences").alias("n_sentences"))
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:

@@ -27,7 +27,7 @@ def test_held_out_accuracy(sf):
     ids = sorted(labels)
     fit, held = [d for i, d in enumerate(ids) if i % 4], ids[::4]
     model = s.Components(list(names.subject)).fit([(docs[d], sorted(labels[d])) for d in fit], list(names.summary))
-    shares, _ = model.fold_in([docs[d] for d in held])
+    _, shares, _ = model.fold_in([docs[d] for d in held])
     found = {(d, k) for d, row in zip(held, shares) for k in range(len(names)) if row[k] >= s.SHARE - 1e-9}
     want = {(d, k) for d in held for k in labels[d]}
     assert len(found & want) / len(found) > 0.85 and len(found & want) / len(want) > 0.85
