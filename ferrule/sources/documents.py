@@ -56,7 +56,46 @@ def ordered_text(spans: DataFrame, middle: float) -> DataFrame:
 
 def title_from_spans(spans: DataFrame) -> DataFrame:
     """(paper_id, title): the text of the largest font on page 1 that is longer than five characters, the first of equals."""
-    return spans.where("length(trim(text)) > 5").groupBy("paper_id").agg(F.max_by("text", F.struct("size", -F.col("seq"))).alias("title"))
+    first = spans.where("page = 1") if "page" in spans.columns else spans
+    return first.where("length(trim(text)) > 5").groupBy("paper_id").agg(F.trim(F.max_by("text", F.struct("size", -F.col("seq")))).alias("title"))
+
+
+def paper_info(embedded: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """(paper_id, title, authors, journal, creation_date) from the metadata embedded in files (paper_id, title, author, subject,
+    creation_date) and, where a title is missing or says "untitled", from the fonts of the first page; null if nothing says it."""
+
+    def told(c: str):
+        return F.nullif(F.trim(c), F.lit(""))
+
+    bad = F.col("title").isNull() | (F.col("title") == "") | F.lower("title").contains("untitled")
+    i = embedded.withColumn("title", F.when(~bad, F.col("title")))
+    if spans is not None:
+        i = i.join(title_from_spans(spans).withColumnRenamed("title", "_large"), "paper_id", "left")
+    else:
+        i = i.withColumn("_large", F.lit(None).cast("string"))
+    # without a large font the title stays as it was embedded
+    i = i.join(embedded.select("paper_id", F.col("title").alias("_was")), "paper_id", "left")
+    return i.select("paper_id", F.coalesce(told("title"), told("_large"), told("_was")).alias("title"), told("author").alias("authors"), told("subject").alias("journal"), told("creation_date").alias("creation_date"))
+
+
+_GRIDS = T.StructType([T.StructField("paper_id", T.StringType()), T.StructField("page", T.IntegerType()), T.StructField("t_idx", T.IntegerType()), T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("error", T.StringType())])
+
+
+def decode_tables(binary: DataFrame, decode: Callable[[bytes], list[list[list[list[str | None]]]]]) -> DataFrame:
+    """(paper_id, page, t_idx, cells, error): the ruled tables of each page of each file, as ``decode`` finds them (pages of
+    tables of rows of cells). A file whose tables can't be read gives one row with the error and no others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for name, content in zip(b["paper_id"], b["content"]):
+                try:
+                    rows += [(name, p, t, [[None if c is None else str(c) for c in r] for r in grid], None) for p, grids in enumerate(decode(bytes(content)), 1) for t, grid in enumerate(grids, 1)]
+                except Exception as e:  # noqa: BLE001 - a plugin may raise anything
+                    rows.append((name, None, None, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=_GRIDS.names)
+
+    return binary.select("paper_id", "content").mapInPandas(run, _GRIDS)
 
 
 @F.pandas_udf(T.StringType())
@@ -79,6 +118,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+BOM = "\ufeff"
+
+
+def append_csv(df: DataFrame, path: str, batch: str) -> None:
+    """Add a batch to a CSV table: a folder of files that spreadsheets read, each in UTF-8 with a byte order mark and a header.
+    Writing the batch again replaces it. Nulls and empty texts are NONE; arrays, maps and structs are JSON text."""
+    flat = df.select(*(F.to_json(F.col(c)).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string").alias(c) for c, t in df.dtypes))
+    flat = flat.select(*(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("NONE")).alias(c) for c in flat.columns))
+    # the mark goes before the first column's name, where each file's header begins
+    flat = flat.withColumnRenamed(flat.columns[0], BOM + flat.columns[0])
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"').option("encoding", "UTF-8").csv(f"{path}/batch={batch}")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by :func:`append_csv`, all batches, texts as they are; columns that a batch lacks are null."""
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return df.select(*(F.col(f"`{c}`").alias(c.lstrip(BOM)) for c in df.columns if c != "batch"))
+
+
 def append_table(df: DataFrame, path: str, batch: str) -> None:
     """Append as a partition of its batch; writing the batch again replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -94,9 +152,15 @@ def append_json(df: DataFrame, path: str, key: str = "paper_id") -> None:
 
 
 def write_xlsx(tables: dict[str, DataFrame], path: str, most_rows: int = 1_000_000) -> None:
-    """One sheet a table on the driver, for tables within a sheet's size only."""
+    """One sheet a table on the driver, for tables within a sheet's size only; rows of sheets that are there already come first."""
+    import os
+
+    old = pd.read_excel(path, sheet_name=None) if os.path.exists(path) else {}
+    sheets = {}
+    for name, df in tables.items():
+        if df.limit(most_rows + 1).count() + len(old.get(name[:31], ())) > most_rows:
+            raise ValueError(f"{name} has more rows than a sheet can hold")
+        sheets[name[:31]] = pd.concat([old.get(name[:31]), df.toPandas()], ignore_index=True) if name[:31] in old else df.toPandas()
     with pd.ExcelWriter(path) as book:
-        for name, df in tables.items():
-            if df.limit(most_rows + 1).count() > most_rows:
-                raise ValueError(f"{name} has more rows than a sheet can hold")
-            df.toPandas().to_excel(book, sheet_name=name[:31], index=False)
+        for name, frame in (old | sheets).items():
+            frame.fillna("NONE").replace("", "NONE").to_excel(book, sheet_name=name, index=False)

@@ -176,3 +176,27 @@ def test_doi_and_year(spark):
     info = spark.createDataFrame([("a", "t", "D:2020"), ("b", "see 10.5555/t-1)", "D:20180101")], "paper_id string, title string, creation_date string")
     got = {r.paper_id: (r.doi, r.publication_year) for r in layout.doi_and_year(pages, info).collect()}
     assert got == {"a": ("10.1234/abc", "2005"), "b": ("10.5555/t-1", "2018"), "c": ("NONE", "2010")}
+
+
+def test_metadata_and_tables_of_files(spark, tmp_path):
+    info = spark.createDataFrame([("a", "A title", "X", " ", "D:2019"), ("b", "untitled-1", None, "J", None), ("c", None, "", "", "")], "paper_id string, title string, author string, subject string, creation_date string")
+    spans = spark.createDataFrame([("b", 1, 1, 9.0, "small text"), ("b", 1, 2, 20.0, "Large title "), ("b", 2, 3, 30.0, "Other page"), ("c", 1, 1, 20.0, "tiny")], "paper_id string, page int, seq int, size double, text string")
+    got = sorted(tuple(r) for r in documents.paper_info(info, spans).collect())
+    assert got == [("a", "A title", "X", None, "D:2019"), ("b", "Large title", None, "J", None), ("c", None, None, None, None)]
+    files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"bad"))], "paper_id string, content binary")
+
+    def decode(data):
+        if data == b"bad":
+            raise ValueError("no tables")
+        return [[], [[["Material", None], ["LFP", 3]]]]
+
+    assert sorted((r.paper_id, r.page, r.t_idx, r.cells, r.error) for r in documents.decode_tables(files, decode).collect()) == [("a", 2, 1, [["Material", None], ["LFP", "3"]], None), ("b", None, None, None, "no tables")]
+
+
+def test_csv_grows_by_batches(spark, tmp_path):
+    df = spark.createDataFrame([("ä", 'x "q", y\nz', None, [1])], "paper_id string, t string, n string, xs array<int>")
+    for batch in ("1", "2", "2"):
+        documents.append_csv(df, f"{tmp_path}/c", batch)
+    data = next(p for p in tmp_path.glob("c/batch=1/*.csv")).read_bytes()
+    assert data.startswith(b"\xef\xbb\xbfpaper_id")
+    assert [tuple(r) for r in documents.read_csv(spark, f"{tmp_path}/c").collect()] == [("ä", 'x "q", y\nz', "NONE", "[1]")] * 2
