@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; all that :func:`written` and :func:`stored` leave lies in it."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove this application's folder, once nothing reads its results any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
@@ -38,14 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back (for results with several readers)."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """:func:`written`, with its place noted, so that :func:`discard` can remove it once nothing reads it any more."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PLACES[id(out)] = (out, path)

@@ -10,32 +10,37 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.session import shared_dir
+from ferrule.session import exists, work_dir
 
 PAGES = "paper_id string, page int, text string"
 
 
 def stage_pages(pages: DataFrame) -> str:
     """Write pages as files that a stream can read; returns their folder in the shared storage."""
-    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    folder = f"{work_dir(pages.sparkSession)}/pages-{uuid.uuid4().hex}"
     pages.select("paper_id", "page", "text").write.parquet(folder)
     return folder
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def publish(spark: SparkSession, source: str, target: str, extract: Callable[[DataFrame], DataFrame], files_per_batch: int = 1000, on_batch: Callable[[int], None] | None = None, stop: Callable[[], bool] | None = None) -> None:
+    """Read what is new in ``source``, extract, and write each batch under ``target``; ``on_batch`` is told of each batch done.
 
+    ``stop`` is asked before each batch; once it says so, the batch isn't begun and the stream ends. What is left is read by
+    the next run.
+    """
 
-def publish(spark: SparkSession, source: str, target: str, extract: Callable[[DataFrame], DataFrame], files_per_batch: int = 1000, on_batch: Callable[[int], None] | None = None) -> None:
-    """Read what is new in ``source``, extract, and write each batch under ``target``; ``on_batch`` is told of each batch done."""
+    class Stopped(Exception):
+        pass
 
     def one(batch: DataFrame, number: int) -> None:
+        if stop and stop():
+            raise Stopped
         out = extract(batch)
         others = f"{target}/data"
-        if _exists(spark, others):
+        if exists(spark, others):
             done = spark.read.option("basePath", others).parquet(others)
             done = done.where(done["batch"] != number).select("paper_id").distinct()
             out = out.join(done, "paper_id", "left_anti")
@@ -44,11 +49,16 @@ def publish(spark: SparkSession, source: str, target: str, extract: Callable[[Da
             on_batch(number)
 
     stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not (stop and stop()):
+            raise
 
 
 def published(spark: SparkSession, source: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Publish a folder to its end and read the result."""
-    target = f"{shared_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    target = f"{work_dir(spark)}/published-{uuid.uuid4().hex}"
     publish(spark, source, target, extract)
     return spark.read.option("basePath", f"{target}/data").parquet(f"{target}/data").drop("batch")

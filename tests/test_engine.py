@@ -101,6 +101,27 @@ def test_stream_publishes_once(spark, tmp_path):
     assert sorted(r.paper_id for r in spark.read.parquet(f"{target}/data").collect()) == ["a", "b", "c"]
 
 
+def test_stream_stops_between_batches(spark, tmp_path):
+    src, target, seen = f"{tmp_path}/in", f"{tmp_path}/out", []
+    for name in "abc":
+        spark.createDataFrame([(name, 1, "x")], "paper_id string, page int, text string").coalesce(1).write.mode("append").parquet(src)
+    count = lambda p: p.groupBy("paper_id").agg(F.count("*").alias("n"))
+    incremental.publish(spark, src, target, count, 1, seen.append, stop=lambda: len(seen) >= 2)
+    assert len(seen) == 2 and spark.read.parquet(f"{target}/data").count() == 2
+    incremental.publish(spark, src, target, count, 1)
+    assert sorted(r.paper_id for r in spark.read.parquet(f"{target}/data").collect()) == ["a", "b", "c"]
+
+
+def test_folders_of_an_application(spark):
+    from ferrule import session
+
+    df = session.stored(spark.range(3), "x")
+    assert session.exists(spark, f"{session.work_dir(spark)}") and df.count() == 3
+    session.discard(df)
+    session.discard(df)
+    assert session.shared_dir(spark).startswith("file:")
+
+
 def test_files_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/A.PDF").write_bytes(b"one\x0ctwo " + b"x" * 60)
