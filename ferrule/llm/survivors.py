@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import stated
-from ferrule.session import cut
+from ferrule.session import discard, stored
 
 NONE = "NONE"
+#: Sources whose reliabilities are broadcast, at most.
+BROADCAST_SOURCES = 1_000_000
 #: What states nothing besides the usual words, by field.
 EMPTY = {"ea_type": ("unspecified",)}
 
@@ -57,22 +59,28 @@ def discover_truth(records: DataFrame, group: str = "dup_group", fields: tuple[s
     claim = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), value_of(f).alias("value")) for f in fields))).alias("x")
     who = F.concat_ws("\u0001", *(F.coalesce(F.col(s).cast("string"), F.lit(NONE)) for s in source)).alias("source")
     claims = records.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(record_id).alias("r"), who, claim).select("g", "r", "source", "x.field", "x.value").where("value is not null").distinct()
-    claims = cut(claims.groupBy("g", "field", "value", "source").agg(F.count("*").alias("n")))
-    trust = claims.select("source").distinct().withColumn("trust", F.lit(0.8))
+    claims = stored(claims.groupBy("g", "field", "value", "source").agg(F.count("*").alias("n")), "truth-claims")
+    trust = stored(claims.select("source").distinct().withColumn("trust", F.lit(0.8)), "truth-trust")
+    # sources are skewed, so that their reliabilities go to the claims rather than both by source, as far as their number allows
+    by = (lambda t: F.broadcast(t)) if trust.count() <= BROADCAST_SOURCES else (lambda t: t)
+
+    def voted() -> DataFrame:
+        votes = claims.join(by(trust), "source").withColumn("w", F.col("n") * F.log((1 + F.col("trust")) / (1.02 - F.col("trust"))))
+        return votes.groupBy("g", "field", "value").agg(F.sum("w").alias("w"))
+
     for _ in range(rounds):
-        votes = claims.join(trust, "source").withColumn("w", F.col("n") * F.log((1 + F.col("trust")) / (1.02 - F.col("trust"))))
-        support = votes.groupBy("g", "field", "value").agg(F.sum("w").alias("w"))
-        share = support.groupBy("g", "field").agg(F.sum("w").alias("all"))
-        support = support.join(share, ["g", "field"]).select("g", "field", "value", (F.col("w") / F.col("all")).alias("support"))
+        w = voted()
+        share = w.groupBy("g", "field").agg(F.sum("w").alias("all"))
+        support = w.join(share, ["g", "field"]).select("g", "field", "value", (F.col("w") / F.col("all")).alias("support"))
         fresh = claims.join(support, ["g", "field", "value"]).groupBy("source").agg(F.sum(F.col("n") * F.col("support")).alias("s"), F.sum("n").alias("m"))
         # two pseudo-claims at 0.8 keep sources with few claims from running to the ends
-        fresh = cut(fresh.select("source", ((F.col("s") + 1.6) / (F.col("m") + 2)).alias("trust")))
+        fresh = stored(fresh.select("source", ((F.col("s") + 1.6) / (F.col("m") + 2)).alias("trust")), "truth-trust")
         change = fresh.join(trust.withColumnRenamed("trust", "old"), "source").agg(F.max(F.abs(F.col("trust") - F.col("old")))).first()[0] or 0.0
+        discard(trust)
         trust = fresh
         if change < settled:
             break
     else:
         raise RuntimeError(f"reliabilities still change by {change:.4f} after {rounds} rounds")
-    votes = claims.join(trust, "source").groupBy("g", "field", "value").agg(F.sum(F.col("n") * F.log((1 + F.col("trust")) / (1.02 - F.col("trust")))).alias("w"))
-    best = votes.groupBy("g", "field").agg(F.max_by("value", F.struct(F.col("w"), F.hex("value"))).alias("value"), (F.max("w") / F.sum("w")).alias("support"), F.count("*").alias("n_values"))
+    best = voted().groupBy("g", "field").agg(F.max_by("value", F.struct(F.col("w"), F.hex("value"))).alias("value"), (F.max("w") / F.sum("w")).alias("support"), F.count("*").alias("n_values"))
     return best.withColumnRenamed("g", group), trust
