@@ -13,7 +13,7 @@ from ferrule.functions.lexicon import ENTRIES
 from ferrule.functions.numbers import numbers
 from ferrule.functions.text import BLANKS, nfkc
 from ferrule.functions.wording import any_of
-from ferrule.operators.extract import EA_PROPERTIES, ea_type_in, materials_in, normal_text
+from ferrule.operators.extract import EA_PROPERTIES, ea_type_in, first_formula, materials_in, normal_text
 
 NONE = "NONE"
 # What a column's header names, longest wording first; and the headers of material columns.
@@ -57,16 +57,18 @@ def header_row(first: Column) -> Column:
 
 
 def headed(grids: DataFrame) -> DataFrame:
-    """Grids (paper_id, page, t_idx, cells) cleaned, with ``headers`` and ``material_column`` (null if none)."""
+    """Grids (paper_id, page, t_idx, cells) cleaned, with ``headers``, ``material_column`` (null if none) and ``props``, for each
+    header the property that it names and the last unit in brackets in it."""
     g = cleaned(grids).withColumn("headers", header_row(F.element_at("cells", 1)))
     named = F.filter("headers", lambda h: F.lower(h).isin(*MATERIAL_HEADERS))
-    return g.withColumn("material_column", F.try_element_at(named, F.lit(1)))
+    props = F.transform("headers", lambda h: F.struct(property_of(h).alias("p"), F.try_element_at(F.regexp_extract_all(h, F.lit(r"\(([^)]+)\)"), F.lit(1)), F.lit(-1)).alias("u")))
+    return g.withColumns({"material_column": F.try_element_at(named, F.lit(1)), "props": props})
 
 
 def rows(headed_grids: DataFrame) -> DataFrame:
-    """(paper_id, page, t_idx, row_no, headers, material_column, row): each data row that isn't empty as a map of header to
+    """(paper_id, page, t_idx, row_no, headers, material_column, props, row): each data row that isn't empty as a map of header to
     cell; cells beyond the headers are Column_i, counted from 0 (with a + where a header has that name)."""
-    r = headed_grids.select("paper_id", "page", "t_idx", "headers", "material_column", F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1)))).alias("row_no", "cs"))
+    r = headed_grids.select("paper_id", "page", "t_idx", "headers", "material_column", "props", F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1)))).alias("row_no", "cs"))
     r = r.where(F.exists("cs", lambda c: c != ""))
     name = lambda i: F.concat(F.lit("Column_"), i.cast("string"))
     pairs = F.transform("cs", lambda c, i: F.struct(F.coalesce(F.try_element_at(F.col("headers"), i + 1), F.concat(name(i), F.when(F.array_contains("headers", name(i)), "+").otherwise(""))).alias("k"), c.alias("v")))
@@ -107,23 +109,22 @@ def _read_cells(cell: pd.Series, bracket: pd.Series, kind: pd.Series) -> pd.Seri
 
 
 def table_mentions(table_rows: DataFrame) -> DataFrame:
-    """(…, row_no, col_no, property_name, category, raw_value, normalized_value, unit, confidence, found, extraction_method):
+    """(…, row_no, col_no, property_name, category, raw_value, normalized_value, unit, confidence, formula, extraction_method):
     the value that begins each property cell, with the unit of the cell or else the last one in brackets in its header,
-    linked to the first material of the row's material cell (``found``)."""
-    # what depends on the grid or the row alone is worked out before cells part
-    props = F.transform("headers", lambda h: F.struct(property_of(h).alias("p"), F.try_element_at(F.regexp_extract_all(h, F.lit(r"\(([^)]+)\)"), F.lit(1)), F.lit(-1)).alias("u")))
-    found = F.slice(materials_in(F.coalesce(F.element_at("row", F.col("material_column")), F.lit(""))), 1, 1)
-    r = table_rows.select("paper_id", "page", "t_idx", "row_no", "row", "material_column", "headers", found.alias("found"), props.alias("props"))
+    linked to the first material of the row's material cell."""
+    # what depends on the row alone is worked out before cells part
+    formula = first_formula(F.coalesce(F.element_at("row", F.col("material_column")), F.lit("")))
+    r = table_rows.select("paper_id", "page", "t_idx", "row_no", "row", "material_column", "headers", "props", formula.alias("formula"))
     r = r.withColumn("row_text", F.array_join(F.transform(F.filter(F.arrays_zip("headers", "props"), lambda x: x["props"]["p"].isNull()), lambda x: F.element_at(F.col("row"), x["headers"])), " "))
     cells = F.transform("headers", lambda h, i: F.struct(i.alias("col_no"), h.alias("header"), F.get("props", i)["p"].alias("property_name"), F.get("props", i)["u"].alias("bracket"), F.element_at(F.col("row"), h).alias("cell")))
     wanted = F.filter(cells, lambda c: c["property_name"].isNotNull() & (c["cell"] != "") & ~F.equal_null(c["header"], F.col("material_column")))
-    c = r.select("paper_id", "page", "t_idx", "row_no", "found", "row_text", F.inline(wanted))
+    c = r.select("paper_id", "page", "t_idx", "row_no", "formula", "row_text", F.inline(wanted))
     names = sorted({n for _, n in HEADERS})
     kinds, cats = (F.create_map(*(F.lit(x) for n in names for x in (n, getattr(_ENTRY[n], f)))) for f in ("kind", "category"))
     c = c.withColumns({"kind": F.element_at(kinds, F.col("property_name")), "category": F.element_at(cats, F.col("property_name"))})
     c = c.withColumn("normalized_value", _read_cells("cell", "bracket", "kind")).where(F.col("normalized_value") != NONE)
     unit = F.coalesce(F.nullif(F.regexp_extract("normalized_value", r"^\S+ (.+)$", 1), F.lit("")), F.lit(NONE))
-    return c.select("paper_id", "page", "t_idx", "row_no", "col_no", "header", "row_text", "category", "property_name", F.col("cell").alias("raw_value"), "normalized_value", unit.alias("unit"), F.lit(CONFIDENCE["field"]).alias("confidence"), "found", F.try_element_at("found", F.lit(1))["formula"].alias("formula"), F.when(F.size("found") > 0, "table_row").alias("extraction_method"))
+    return c.select("paper_id", "page", "t_idx", "row_no", "col_no", "header", "row_text", "category", "property_name", F.col("cell").alias("raw_value"), "normalized_value", unit.alias("unit"), F.lit(CONFIDENCE["field"]).alias("confidence"), "formula", F.when(F.col("formula").isNotNull(), "table_row").alias("extraction_method"))
 
 
 #: Blocks of tables come after those of the text.
