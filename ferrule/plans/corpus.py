@@ -122,7 +122,7 @@ EXAMPLES: tuple[tuple[str, tuple[Mention, ...]], ...] = (
     _e("A particle size of 30 nm.", ("Particle_Size", "300 angstrom", "angstrom")), _e("A porosity of 12 percent.", ("Porosity", "12.00 %", "%")), _e("Its relative density was 97 %.", ("Relative_Density", "97.00 %", "%")), _e("A bandgap of 5.4 eV.", ("Band_Gap", "5.4 eV", "eV")), _e("A Bader charge of 0.8 e per site.", ("Bader_Charge", "0.8")),
     _e("The density of states is flat.", ("DOS_Mentioned", "density of states")), _e("See the PDOS.", ("PDOS_Mentioned", "PDOS")), _e("The COHP is given.", ("COHP_Mentioned", "COHP")), _e("An activation temperature of 600 K.", ("Activation_Temperature", "600 kelvin", "kelvin")), _e("A melting point of 700 K.", ("Melting_Point", "700 kelvin", "kelvin")),
     _e("Glass transition temperature Tg of 200 °C.", ("Glass_Transition_Temperature", "473.1 kelvin", "kelvin")), _e("A Debye temperature of 400 K.", ("Debye_Temperature", "400 kelvin", "kelvin")), _e("A thermal conductivity of 1.5 W/mK.", ("Thermal_Conductivity", "1.5 W/m/K", "W/m/K")), _e("The thermal expansion coefficient is 9 ppm/K.", ("Thermal_Expansion_Coefficient", "9")),
-    _e("Raman shift at 612 cm-1.", ("Raman_Peak", "612 cm**-1", "cm**-1"), ("Technique", "Raman")), _e("FTIR at 900 cm-1.", ("FTIR_Peak", "900 cm**-1", "cm**-1"), ("Technique", "FTIR")), _e("An XRD peak at 25.1 °.", ("XRD_Peak", "25.1 degree", "degree"), ("Technique", "XRD")), _e("All in CP2K.", ("Software", "CP2K")), _e("Code version 6.3 is meant.", ("Version", "6.3")),
+    _e("Raman shift at 612 cm-1.", ("Raman_Peak", "612 cm**-1", "cm**-1"), ("Technique", "Raman")), _e("FTIR at 900 cm-1.", ("FTIR_Peak", "900 cm**-1", "cm**-1"), ("Technique", "FTIR")), _e("An XRD peak at 25.1 °.", ("XRD_Peak", "25.1 degree", "degree"), ("Technique", "XRD")), _e("All in CASTEP.", ("Software", "CASTEP")), _e("Code version 6.3 is meant.", ("Version", "6.3")),
     _e("HSE06 throughout.", ("Functional", "HSE06"), ("Hybrid_Functional", "HSE06")), _e("A Hubbard U of 4 eV.", ("Hubbard_U", "4 eV", "eV")), _e("A cutoff energy of 520 eV.", ("Cutoff_Energy", "520 eV", "eV")), _e("With ecutwfc 40 Ry.", ("Ecutwfc", "544.2 eV", "eV")), _e("With ecutrho 30 Ry.", ("Ecutrho", "408.2 eV", "eV")), _e("The PAW method.", ("Pseudopotential", "PAW")),
     _e("A k-point mesh of 4×4×4.", ("Kpoint_Mesh", "4×4×4")), _e("SCF convergence of 0.001 eV.", ("SCF_Convergence", "0.001 eV", "eV")), _e("A full relaxation.", ("Relaxation_Type", "full relaxation")), _e("By NEB paths.", ("NEB", "NEB")), _e("Spin-polarized runs.", ("Spin_Polarization", "Spin-polarized")), _e("With spin-orbit coupling.", ("SOC", "spin-orbit coupling")),
     _e("With DFT-D3 added.", ("Dispersion_Correction", "DFT-D3")), _e("SCAN is used.", ("Functional", "SCAN"), ("Meta_GGA", "SCAN")), _e("A supercell of 2×2×1.", ("Supercell_Size", "2×2×1"), ("Supercell", "2×2×1")), _e("A vacancy concentration of 2 %.", ("Vacancy_Concentration", "2.00 %", "%")), _e("A pressure of 10 bar.", ("Pressure", "0.001 GPa", "GPa")), _e("A simulation time of 2 ns.", ("Simulation_Time", "2000 ps", "ps")),
