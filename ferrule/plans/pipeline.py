@@ -191,9 +191,9 @@ def nested(x: Extracted) -> DataFrame:
     if x.grids is not None:
         parts.append(("tables", _listed(x.grids, "tables", "page", "t_idx", "table_number", "caption", "headers", "material_column", "cells")))
     figures = annotate.figures(x.blocks)
-    parts.append(("figures", _listed(figures, "figures", F.col("page").alias("at"), F.coalesce(F.col("figure_number").try_cast("int"), F.lit(0)).alias("no"), *figures.columns[1:])))
+    parts.append(("figures", _listed(figures, "figures", F.col("page").alias("at"), F.coalesce(F.col("figure_number").try_cast("int"), F.lit(0)).alias("no"), "block_no", *figures.columns[1:-1])))
     equations = annotate.equations(x.blocks, x.sentences)
-    parts.append(("equations", _listed(equations, "equations", F.col("page").alias("at"), *equations.columns[1:])))
+    parts.append(("equations", _listed(equations, "equations", F.col("page").alias("at"), "block_no", "sent_no", *equations.columns[1:-2])))
     flow = annotate.workflow(x.blocks)
     parts.append(("workflow", _listed(flow, "workflow", *flow.columns[1:])))
     parts.append(("references", _listed(layout.references(x.typed), "references", "ref_no", "entry")))

@@ -221,3 +221,19 @@ def test_csv_grows_by_batches(spark, tmp_path):
     data = next(p for p in tmp_path.glob("c/batch=1/*.csv")).read_bytes()
     assert data.startswith(b"\xef\xbb\xbfpaper_id")
     assert [tuple(r) for r in documents.read_csv(spark, f"{tmp_path}/c").collect()] == [("ä", 'x "q", y\nz', "NONE", "[1]")] * 2
+
+
+def test_order_in_the_record(spark):
+    """Figures by page and number, equations by page and place, materials and relations from the surest down."""
+    import json
+
+    from ferrule.plans import pipeline
+
+    page = "Results\nFigure 9. SEM.\nFigure 2. TEM.\nz = 1 (2)\nb = 2 (1)\nA porosity of 3 % in LiF.\nIntroduction\nPrevious work reported a porosity of 4 % in NaCl.\nConclusion\nWe measured a porosity of 5 % in KBr."
+    x = pipeline.run(spark.createDataFrame([("p", 1, page), ("q", 1, "")], "paper_id string, page int, text string"))
+    r = {r.paper_id: json.loads(r.payload) for r in pipeline.nested(x).collect()}
+    p = r["p"]
+    assert [f["figure_number"] for f in p["figures"]] == ["2", "9"] and [e["equation_text"] for e in p["equations"]] == ["z = 1 (2)", "b = 2 (1)"]
+    assert [m["normalized_formula"] for m in p["materials"]] == ["KBr", "LiF", "NaCl"] and [m["material_id"] for m in p["materials"]] == ["MAT_3", "MAT_1", "MAT_2"]
+    assert [q["confidence"] for q in p["relations"]] == [0.95, 0.8, 0.25]
+    assert r["q"]["materials"] == [] and r["q"]["filename"] == "q" and r["q"]["metadata"]["doi"] == "NONE"
