@@ -37,8 +37,11 @@ BLOCKS = 4
 #: Differing bits (of 128) that a pair may have at most before its text is looked at. Blocks of unlike texts differ in 16
 #: bits each; of the pairs of forms that share two blocks and are one title, 99.6 % differ in no more than this.
 MAX_BITS = 26
-#: Forms that may share a key before they are split by finer keys, and compared with centers where that isn't enough.
+#: Forms that may share a key before they are compared by way of centers and of the rarest grams of their letters instead
+#: of each with each; what is found is the same.
 CROWD = 200
+#: Letters of a gram, and longs of 64 bits that the grams of a form are marked in.
+GRAM, MARKS = 3, 4
 #: Deliveries of fewer rows than this are taken in together with the next, as a batch has its fixed costs (some nine jobs).
 LEAST_ROWS = 10_000
 #: Keys or forms of a batch are broadcast up to so many, so that the tables of the past are read but not shuffled.
@@ -47,6 +50,8 @@ BROADCAST_ROWS = 1_000_000
 BUCKETS = 8
 #: Edits between two forms of one title: at most this share of the shorter one, and at least this many are allowed.
 EDIT_SHARE, EDITS = 0.045, 3
+#: Letters that a cut-off title must have at least to be known as one.
+LEAST_CUT = 30
 _LABEL = re.compile(r"^\s*(?:\[\s*(?:article|paper|review|preprint)\s*\]|(?:full|research|original|regular|review)\s+(?:paper|article|communication)\b|title\s*:)\s*[:–—-]*\s*", re.IGNORECASE)
 _RELATION = ((re.compile(r"^\s*(?:author\s+)?corr\w{3,7}n?\s+to\b\s*[:–—-]*\s*", re.IGNORECASE), "correction"), (re.compile(r"^\s*err\w{2,4}m\b\s*[:–—-]*\s*", re.IGNORECASE), "erratum"), (re.compile(r"^\s*corrig\w+\b\s*[:–—-]*\s*", re.IGNORECASE), "corrigendum"), (re.compile(r"^\s*re\w{2,3}y\s+to\b(?:.{0,20}?\bcom\w+\s+on\b)?\s*[:–—-]*\s*", re.IGNORECASE), "reply"), (re.compile(r"^\s*com+ents?\s+on\b\s*[:–—-]*\s*", re.IGNORECASE), "comment"), (re.compile(r"^\s*retraction\b\s*[:–—-]*\s*", re.IGNORECASE), "retraction"))
 _SERIAL = r"(?:annals|letters|quarterly|reports|communications|proceedings|journal|transactions|review)"
@@ -129,15 +134,20 @@ def edits(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+def most_edits(chars: int) -> int:
+    """How many edits a title of so many letters may be away from a longer one."""
+    return max(EDITS, int(EDIT_SHARE * chars))
+
+
 def same_title(a: str, b: str, short_a: bool, short_b: bool) -> bool:
     """Whether two normalised titles are forms of one: few edits, or one is the other cut off."""
     x, y = a.replace(" ", ""), b.replace(" ", "")
-    most = max(EDITS, int(EDIT_SHARE * min(len(x), len(y))))
+    most = most_edits(min(len(x), len(y)))
     if edits(x, y, most) <= most:
         return True
     if len(x) > len(y):
         x, y, short_a = y, x, short_b
-    if len(x) < 30 or not (short_a or len(x) < 0.93 * len(y)):
+    if len(x) < LEAST_CUT or not (short_a or len(x) < 0.93 * len(y)):
         return False
     return any(edits(x, y[: len(x) + d], 2) <= 2 for d in (0, 1, -1))
 
@@ -252,29 +262,74 @@ def links_of(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     return p.select(F.when(F.col("c"), F.col("lost")).otherwise(F.col("form")).alias("form"), F.when(F.col("c"), F.col("whole.x")).otherwise(F.col("other")).alias("other"), F.when(F.col("c"), F.col("whole.e")).alias("tail")).distinct()
 
 
-def _finer(keyed: DataFrame) -> DataFrame:
-    """Crowded keys with one more thing of the title in each: a block that it doesn't have yet."""
-    more = F.filter(F.transform(F.col("blocks"), lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: x["b"] != 0)
-    return keyed.select("*", F.explode(more).alias("x")).withColumn("key", F.xxhash64("key", "x.i", "x.b")).drop("x").dropDuplicates(["key", "form"])
+_GRAMS = T.StructType([T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("lone", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("chars", T.IntegerType()), T.StructField("spare", T.IntegerType())])
 
 
-def center_links(keyed: DataFrame, forms: DataFrame) -> DataFrame:
-    """Links of forms under crowded keys: the longest whole form of a key is its center, forms that match it are linked to
-    it, and those left get another center, until each form is a center or linked to one."""
-    rank = F.struct((~F.col("short")).alias("w"), F.col("n_chars"), F.col("form"))
-    left, out, spent = keyed, [], []
-    while True:
-        center = left.groupBy("key").agg(F.max(rank).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.form").alias("center"))
-        tried = left.join(center, "key").select("key", "form", "center", "kind")
-        pairs = tried.where("form <> center").select("form", F.col("center").alias("other"), "kind").distinct()
-        found = stored(links_of(pairs, forms), "history-centers")
+def grams_of(words: str) -> tuple[list[int], list[int], list[int], int, int]:
+    """(grams, lone, marks, chars, spare) of a form: the hashes of its grams, also as bits, and its number of letters.
+
+    An edit takes away GRAM + 1 grams at most, so a form that :func:`same_title` holds to be a longer (or as long) one
+    has all but ``spare`` of its grams in it. A form that has no more than those is looked for by ``lone`` instead: by the
+    lengths that it may be edited to, or, where it may be a cut-off one, by 0, which all forms have.
+    """
+    t = words.replace(" ", "")
+    grams = {xxhash.xxh32_intdigest(t[i : i + GRAM]) for i in range(len(t) - GRAM + 1)}
+    most = most_edits(len(t))
+    spare = (GRAM + 1) * most
+    bits = np.zeros(64 * MARKS, dtype=np.uint8)
+    bits[[g % (64 * MARKS) for g in grams]] = 1
+    lone = [] if len(grams) > spare else list(range(len(t), len(t) + most + 1)) if len(t) < LEAST_CUT else [0]
+    return sorted(g + 2**32 for g in grams), lone, np.packbits(bits).view(np.int64).tolist(), len(t), spare
+
+
+@F.pandas_udf(_GRAMS)
+def _grams(words: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([grams_of(w) for w in words], columns=_GRAMS.names)
+
+
+def _near() -> Column:
+    """Whether the shorter of two forms has enough of its grams in the longer one, by their marks; true of all that are one title."""
+    lost = lambda x, y: sum((F.bit_count(F.col(f"{x}.marks")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.marks")[i]))) for i in range(MARKS)), F.lit(0)) <= F.col(f"{x}.spare")
+    return F.when(F.col("a.chars") <= F.col("b.chars"), lost("a", "b")).otherwise(lost("b", "a"))
+
+
+def center_links(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """Links of forms under crowded keys to centers: the longest whole form of a key is its center, all forms that match it
+    are linked to it, and one of those that have none yet is the next center, as long as a round leaves no more than three
+    quarters of them. This joins most of a large work; what else forms match is left to :func:`crowd_pairs`."""
+    size, left, out = rows.count(), rows, []
+    center = F.max(F.struct((~F.col("short")).alias("w"), "n_chars", "form", *(c for c in rows.columns if c not in ("key", "n_chars", "form")))).alias("b")
+    while size:
+        tried = rows.alias("a").join(left.groupBy("key").agg(center, F.count("*").alias("n")).where("n > 1"), "key").where("a.form <> b.form")
+        found = stored(links_of(tried.where(_may_match() & _near()).select(F.col("a.form").alias("form"), F.col("b.form").alias("other"), F.col("a.kind").alias("kind")).distinct(), forms), "history-centers")
         out.append(found)
-        met = found.select("form", F.col("other").alias("center")).union(found.select("other", "form"))
-        rest = tried.where("form <> center").join(met, ["form", "center"], "left_anti").select("key", "form")
+        met = found.select("form", F.col("other").alias("center")).distinct()
+        rest = tried.select("key", F.col("a.form").alias("form"), F.col("b.form").alias("center")).join(met, ["form", "center"], "left_anti").select("key", "form")
         left = stored(left.join(rest, ["key", "form"], "left_semi"), "history-left")
-        spent.append(left)
-        if not left.limit(1).count():
-            return reduce(DataFrame.union, out)
+        before, size = size, left.count()
+        if size > 0.75 * before:
+            break
+    return reduce(DataFrame.union, out) if out else rows.sparkSession.createDataFrame([], HistoryIndex.SCHEMAS["links"])
+
+
+def crowd_pairs(rows: DataFrame) -> DataFrame:
+    """(form, other, kind): as :func:`pairs_of`, for crowded keys; without the pairs of one ``work``, which are linked already.
+
+    Of two forms that are one title the shorter has all but ``spare`` of its grams in the longer. So one of its
+    ``spare`` + 1 grams that are rarest under the key is there, and an equality join on these finds each such pair.
+    """
+    row = ("key", "form", "new", "work", "chars", "spare", "marks")
+    known = rows.select(*row, F.explode(F.concat("grams", F.array(F.col("chars").cast("bigint"), F.lit(0).cast("bigint")))).alias("token"))
+    common = rows.select("key", F.explode("grams").alias("token")).groupBy("key", "token").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("key", "form").orderBy("n", "token"))
+    rare = rows.where(F.size("lone") == 0).select(*row, F.explode("grams").alias("token")).join(common, ["key", "token"])
+    rare = rare.withColumn("rank", rank).where((F.col("rank") <= F.col("spare") + 1) & (F.col("n") > 1)).select(*row, "token")
+    sought = rare.unionByName(rows.select(*row, F.explode("lone").alias("token"))).alias("a")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.work") != F.col("b.work")) & (F.col("a.new") | F.col("b.new")) & (F.col("a.chars") <= F.col("b.chars"))
+    met = sought.join(known.alias("b"), on & _near()).select("a.key", F.col("a.form").alias("form"), F.col("b.form").alias("other")).distinct()
+    a, b = rows.drop("grams", "lone").alias("a"), rows.drop("grams", "lone").alias("b")
+    both = met.alias("m").join(a, (F.col("m.key") == F.col("a.key")) & (F.col("m.form") == F.col("a.form"))).join(b, (F.col("m.key") == F.col("b.key")) & (F.col("m.other") == F.col("b.form")))
+    return both.where(_may_match()).select(F.greatest("m.form", "m.other").alias("form"), F.least("m.form", "m.other").alias("other"), F.col("a.kind").alias("kind")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -352,14 +407,16 @@ class HistoryIndex:
             discard(done)
 
     def _crowded(self, keyed: DataFrame, forms: DataFrame) -> DataFrame:
-        """Links under keys that many forms share. DOI and file are split by blocks first; what is still crowded, and all
-        other keys, go to centers."""
-        split = _finer(keyed.where(F.col("kind") == SHARED)).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-        whole = keyed.where(F.col("kind") != SHARED)
+        """Links under keys that many forms share. What centers link needs no other links, so pairs are sought between
+        their works only; a title found by its beginning is held to all whole titles, as each of them counts."""
         own = forms.join(keyed.select("form").distinct(), "form", "left_semi").dropDuplicates(["form"])
-        own = stored(own, "history-crowd")
-        centers = center_links(whole.unionByName(split.where(F.col("n") > self.crowd).drop("n")), own)
-        return centers.union(links_of(pairs_of(split.where(F.col("n") <= self.crowd)), own))
+        own = stored(own.withColumn("g", _grams("words")), "history-crowd")
+        one = keyed.groupBy("key", "form").agg(F.min("new").alias("new"), *(F.first(c).alias(c) for c in ("kind", "blocks", "part", "short", "n_words", "n_chars")))
+        rows = stored(one.join(own.select("form", "g.*"), "form"), "history-crowded")
+        near = center_links(rows.drop("grams", "lone").where(F.col("kind") != BEGINNING), own)
+        work = F.when(F.col("kind") == BEGINNING, F.col("form")).otherwise(F.coalesce("comp", "form"))
+        rows = rows.join(components(near), "form", "left").withColumn("work", work).drop("comp")
+        return near.union(links_of(crowd_pairs(stored(rows, "history-crowded")), own))
 
     def links(self) -> DataFrame:
         """(form, other): the links that hold. A cut-off title's link holds if all whole titles that it could be end alike."""
