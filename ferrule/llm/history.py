@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache, reduce
 from itertools import combinations
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from ferrule.functions.text import MISSING, stated
 from ferrule.operators.ledger import file_key
-from ferrule.session import discard, exists, stored, work_dir
+from ferrule.session import discard, exists, stored, tidy, work_dir
 
 BLOCKS = 4
 #: Differing bits (of 128) that a pair may have at most before its text is looked at. Blocks of unlike texts differ in 16
@@ -46,6 +47,8 @@ GRAM, MARKS = 3, 4
 LEAST_ROWS = 10_000
 #: Keys or forms of a batch are broadcast up to so many, so that the tables of the past are read but not shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Edges up to so many go to one task to find their components; more are joined round by round.
+TASK_EDGES = 250_000
 #: Folders that the keys of one batch are spread over.
 BUCKETS = 8
 #: Edits between two forms of one title: at most this share of the shorter one, and at least this many are allowed.
@@ -332,9 +335,33 @@ def crowd_pairs(rows: DataFrame) -> DataFrame:
     return both.where(_may_match()).select(F.greatest("m.form", "m.other").alias("form"), F.least("m.form", "m.other").alias("other"), F.col("a.kind").alias("kind")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(form, comp): each linked node's smallest reachable node, by hooking to the smallest neighbour and pointer jumping."""
-    both = stored(edges.select("form", "other").union(edges.select("other", "form")).where("form <> other").distinct(), "history-edges")
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of all edges of a task, by union-find."""
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]  # a shorter way for the next
+            x = y
+        return x
+
+    for edges in batches:
+        for a, b in zip(edges["form"], edges["other"]):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    yield pd.DataFrame({"form": list(up), "comp": [top(x) for x in up]}, dtype=str)
+
+
+def components(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """(form, comp): each linked node's smallest reachable node. Up to ``most`` edges by union-find in one task, else by
+    hooking to the smallest neighbour and pointer jumping."""
+    one = stored(edges.select(F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other")).where("form <> other").distinct(), "history-edges")
+    if one.count() <= most:
+        label = stored(one.coalesce(1).mapInPandas(_joined, "form string, comp string"), "history-label")
+        discard(one)
+        return label
+    both = stored(one.union(one.select("other", "form")), "history-edges")
+    discard(one)
     label = stored(both.groupBy("form").agg(F.least(F.min("other"), F.col("form")).alias("comp")), "history-label")
     while True:
         near = both.join(label.withColumnRenamed("form", "other"), "other").groupBy("form").agg(F.min("comp").alias("m"))
@@ -386,13 +413,16 @@ class HistoryIndex:
         self._write(prepare(batch, row_id), "rows", number)
         mine = stored(keys_of(self._table("rows", number)), "history-mine")
         n, buckets = mine.agg(F.count("*"), F.collect_set("bucket")).first()  # buckets: at most BUCKETS
-        past = self._table("keys", but=number)
-        past = past.where(F.col("bucket").isin(*buckets)) if len(buckets) < BUCKETS else past
-        met = past.join(_small(mine.select("key").distinct(), n), "key", "left_semi")
-        keyed = met.withColumn("new", F.lit(False)).unionByName(mine.withColumn("new", F.lit(True)))
+        keyed, first = mine.withColumn("new", F.lit(True)), not exists(self.spark, f"{self.folder}/keys")
+        if not first:
+            past = self._table("keys", but=number)
+            past = past.where(F.col("bucket").isin(*buckets)) if len(buckets) < BUCKETS else past
+            met = past.join(_small(mine.select("key").distinct(), n), "key", "left_semi")
+            keyed = met.withColumn("new", F.lit(False)).unionByName(keyed)
         keyed = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "history-keyed")
         # what is known under its key isn't appended again; this and the links write different folders, so they go side by side
-        fresh = mine.join(keyed.where("not new").select("key", "form"), ["key", "form"], "left_anti").repartition("bucket")
+        fresh = mine if first else mine.join(keyed.where("not new").select("key", "form"), ["key", "form"], "left_anti")
+        fresh = fresh.repartition("bucket")
         with ThreadPoolExecutor(1) as beside:
             kept = beside.submit(self._write, fresh, "keys", number, "bucket")
             forms = self._table("rows").select(*_FORM).where("form is not null")
@@ -405,6 +435,7 @@ class HistoryIndex:
             kept.result()
         for done in (keyed, mine, pairs):
             discard(done)
+        tidy(self.spark)
 
     def _crowded(self, keyed: DataFrame, forms: DataFrame) -> DataFrame:
         """Links under keys that many forms share. What centers link needs no other links, so pairs are sought between
