@@ -49,6 +49,9 @@ LEAST_ROWS = 10_000
 BROADCAST_ROWS = 1_000_000
 #: Edges up to so many go to one task to find their components; more are joined round by round.
 TASK_EDGES = 250_000
+#: Keys of a batch that one task takes, so that files get no smaller than need be: without Hadoop's native code each file
+#: costs three processes that set modes, and until such a process runs its own program it shares an executor's memory.
+TASK_KEYS = 100_000
 #: Folders that the keys of one batch are spread over.
 BUCKETS = 8
 #: Edits between two forms of one title: at most this share of the shorter one, and at least this many are allowed.
@@ -199,8 +202,8 @@ _FORM = ("form", "relation", "part", "words", "formula", "short", "blocks")
 BLOCK, SHARED, BEGINNING = "block", "shared", "beginning"
 
 
-def keys_of(rows: DataFrame) -> DataFrame:
-    """The distinct keys of prepared rows: (bucket, key, kind, form, blocks, part, short, n_words, n_chars).
+def all_keys(rows: DataFrame) -> DataFrame:
+    """The keys of prepared rows, one row for each row and key: (bucket, key, kind, form, blocks, part, short, n_words, n_chars).
 
     A key with nothing in it (an empty block, no DOI, no file, no formula) isn't made, as all rows without would meet there.
     """
@@ -220,8 +223,12 @@ def keys_of(rows: DataFrame) -> DataFrame:
         made += [key(SHARED, f"{c}{i}", there & (lone[i] != 0), F.col(c), lone[i]) for i in range(BLOCKS)]
     k = rows.where("form is not null").select(*_FORM, F.explode(F.array_compact(F.array(*made))).alias("k"))
     size = (F.size(F.split("words", " ")).alias("n_words"), F.length("words").alias("n_chars"))
-    k = k.select(F.pmod("k.key", F.lit(BUCKETS)).cast("int").alias("bucket"), "k.key", "k.kind", "form", "blocks", "part", "short", *size)
-    return k.dropDuplicates(["key", "form"])
+    return k.select(F.pmod("k.key", F.lit(BUCKETS)).cast("int").alias("bucket"), "k.key", "k.kind", "form", "blocks", "part", "short", *size)
+
+
+def keys_of(rows: DataFrame) -> DataFrame:
+    """The distinct keys of prepared rows, as :func:`all_keys` has them."""
+    return all_keys(rows).dropDuplicates(["key", "form"])
 
 
 def _bits() -> Column:
@@ -411,29 +418,31 @@ class HistoryIndex:
     def accept(self, batch: DataFrame, number: int, row_id: str = "paper_id") -> None:
         """Take in a batch of rows (``row_id``, title, doi, filename): link its titles to those accepted and to each other."""
         self._write(prepare(batch, row_id), "rows", number)
-        mine = stored(keys_of(self._table("rows", number)), "history-mine")
-        n, buckets = mine.agg(F.count("*"), F.collect_set("bucket")).first()  # buckets: at most BUCKETS
-        keyed, first = mine.withColumn("new", F.lit(True)), not exists(self.spark, f"{self.folder}/keys")
-        if not first:
+        rows = self._table("rows", number)
+        n, buckets = all_keys(rows).agg(F.count("*"), F.collect_set("bucket")).first()  # buckets: at most BUCKETS
+        tasks = -(-n // TASK_KEYS) or 1
+        keyed = keys_of(rows).withColumn("new", F.lit(True))
+        if exists(self.spark, f"{self.folder}/keys"):
             past = self._table("keys", but=number)
             past = past.where(F.col("bucket").isin(*buckets)) if len(buckets) < BUCKETS else past
-            met = past.join(_small(mine.select("key").distinct(), n), "key", "left_semi")
+            met = past.join(_small(all_keys(rows).select("key").distinct(), n), "key", "left_semi")
             keyed = met.withColumn("new", F.lit(False)).unionByName(keyed)
-        keyed = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "history-keyed")
+        known = F.bool_or(~F.col("new")).over(Window.partitionBy("key", "form"))
+        keyed = keyed.repartition(tasks, "key").withColumn("known", known).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+        keyed = stored(keyed, "history-keyed")
         # what is known under its key isn't appended again; this and the links write different folders, so they go side by side
-        fresh = mine if first else mine.join(keyed.where("not new").select("key", "form"), ["key", "form"], "left_anti")
-        fresh = fresh.repartition("bucket")
+        fresh = keyed.where("new and not known").drop("new", "known", "n").repartition(min(tasks, BUCKETS), "bucket")
         with ThreadPoolExecutor(1) as beside:
             kept = beside.submit(self._write, fresh, "keys", number, "bucket")
             forms = self._table("rows").select(*_FORM).where("form is not null")
-            pairs = stored(pairs_of(keyed.where(F.col("n") <= self.crowd)), "history-pairs")
+            pairs = stored(pairs_of(keyed.where(F.col("n").between(2, self.crowd))), "history-pairs")
             named = pairs.select("form").union(pairs.select("other")).distinct()
             links = links_of(pairs, forms.join(_small(named, 2 * pairs.count()), "form", "left_semi").dropDuplicates(["form"]))
             if (keyed.agg(F.max("n")).first()[0] or 0) > self.crowd:
-                links = links.union(self._crowded(keyed.where(F.col("n") > self.crowd).drop("n"), forms))
+                links = links.union(self._crowded(keyed.where(F.col("n") > self.crowd).drop("known", "n"), forms))
             self._write(links, "links", number)
             kept.result()
-        for done in (keyed, mine, pairs):
+        for done in (keyed, pairs):
             discard(done)
         tidy(self.spark)
 
