@@ -60,6 +60,35 @@ def test_record_is_whole(spark, sf):
     assert full["tables"][0]["caption"] == "NONE" and full["materials"][0]["elements"] and full["materials"][0]["properties"][0]["sentence"]
 
 
+def test_records_by_paper_are_the_same_without_shuffles(spark, sf):
+    import itertools
+    import re
+
+    from ferrule.operators import tables
+    from ferrule.plans import corpus, pipeline
+
+    pages, grids, info = corpus.pages(spark, sf), reference_queries._paper_grids(spark, sf, 5), reference_queries._info(spark, sf)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = pipeline.run_by_paper(pages, 5, grids, info)
+        df = pipeline.nested(x)
+        got, plan = sorted(df.collect()), df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        read = tables.linked(x.grids)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == sorted(pipeline.nested(pipeline.run(pages, grids=grids, info=info)).collect())
+    # papers, metadata, equations and figures are shuffled, mentions, materials, grids and lines aren't
+    lines, shuffled = [(len(re.match(r"[ :+-]*", line)[0]), line) for line in plan.splitlines()], set()
+    for i, (depth, line) in enumerate(lines):
+        if "Exchange" in line:
+            below = itertools.takewhile(lambda x: x[0] > depth, lines[i + 1 :])
+            shuffled |= {m[1] for _, x in below if (m := re.search(r"FileScan parquet \S*ferrule_([a-z]+)_", x))}
+    assert {*re.findall(r"FileScan parquet \S*ferrule_([a-z]+)_", plan)} == {"blocks", "typed", "mentions", "registry", "grids"} and shuffled == {"blocks"}
+    # rows of cells aren't kept until Python answers
+    assert "MapInArrow" in read and "ArrowEvalPython" not in read and "Join" not in read
+
+
 def test_wide_summary_has_all_columns(spark, sf):
     from ferrule.plans import corpus, pipeline
 
